@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigmill.llm import bpe
+from sigmill.llm import bpe, contamination, residue
 from sigmill.runtime import table
 
 
@@ -12,4 +12,12 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
