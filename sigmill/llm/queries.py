@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigmill.llm import bpe, contamination, residue
+from sigmill.llm import bpe, canonical, contamination, encoding, residue
 from sigmill.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = canonical.typed_names(table(spark, sf_dir, "disproportionality_cells"), table(spark, sf_dir, "drug_reference"))
+    return found.select("dataset_id", "drug_text", "ref_id")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, drugs, events = (table(spark, sf_dir, t) for t in ("disproportionality_cells", "drug_reference", "event_terms"))
+    return encoding.restored_values(cells, drugs, events).select("field_name", "stored_text", "ref_id")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"))
 
@@ -20,4 +30,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}

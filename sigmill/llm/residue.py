@@ -66,10 +66,10 @@ STOCK = r"""(?ix)^\W*(?:
 STATUS = r"""(?ix)^\W*(?:(?:http|error|status|code|oops|sorry|fehler|erreur|estado|erro)\W*){0,3}\(?(?:4\d\d|5\d\d)\)?(?=\W|$)(?P<rest>.*)$"""
 STATUS_NAMED = r"(?i)^\W*(?:(?:http|error|status|code|oops|sorry|fehler|erreur|estado|erro)\W+){1,3}\(?(?:4\d\d|5\d\d)\)?(?=\W|$)"
 ERROR = r"""(?ix)
-    \b(?:page|file|document|notebook|resource|url|address|link|dirección|adresse|seite|página|datei|fichier|archivo)\b[^.!?\n]{0,60}?
+    \b(?:page|file|document|notebook|resource|url|address|link|dirección|adresse|seite|página|datei|fichier|archivo)\b(?:[^.!?\n]|\.(?=\w)){0,60}?
       (?:not\s+(?:be\s+)?(?:found|here|exist|available)|(?:does|did)(?:\s+not|n[’']t)\s+exist|no\s+existe|no\s+encontrad[ao]|não\s+(?:existe|encontrad[ao])|n[’']existe\s+pas|introuvable|nicht\s+(?:gefunden|erreichbar|verfügbar)|moved\s+or\s+(?:removed|deleted)|has\s+(?:expired|been\s+(?:moved|removed|deleted))|(?:was|were)\s+(?:moved|removed|deleted))
   | \bnot\s+found\b | \bforbidden\b | \baccess\s+(?:is\s+)?denied\b | \bpermission\s+denied\b | \bunauthori[sz]ed\b | \bbad\s+(?:gateway|request)\b | \bpayload\s+too\s+large\b
-  | \b(?:service|server|site|dienst|servicio|serviço)\b[^.!?\n]{0,30}?(?:unavailable|overloaded|nicht\s+(?:erreichbar|verfügbar)|no\s+(?:está\s+)?disponible|indisponible|indisponível|(?:could|can)\s?(?:not|n[’']t)\s+(?:answer|be\s+reached|respond))
+  | \b(?:service|server|site|dienst|servicio|serviço)\b(?:[^.!?\n]|\.(?=\w)){0,30}?(?:unavailable|overloaded|nicht\s+(?:erreichbar|verfügbar)|no\s+(?:está\s+)?disponible|indisponible|indisponível|(?:could|can)\s?(?:not|n[’']t)\s+(?:answer|be\s+reached|respond))
   | \bservice\s+(?:temporarily\s+)?unavailable\b | \bgateway\s+time-?\s?out\b | \brequest\s+time-?\s?out\b | \btoo\s+many\s+requests\b | \binternal\s+server\s+error\b
   | ^\W*(?:\d{3}\s+)?gone\s*(?::|$)
   | \ban?\s+unexpected\s+(?:problem|error)\b | \bsomething\s+went\s+wrong\b | \bwe\s+hit\s+a\s+snag\b | \bsomething\s+(?:broke|failed|is\s+broken)\b | \b(?:your\s+)?session\s+(?:has\s+)?(?:ended|expired|timed\s+out)\b | \bplease\s+(?:log|sign)\s+in\b | \bthe\s+link\s+has\s+expired\b
@@ -79,18 +79,18 @@ ERROR = r"""(?ix)
 """
 # lines that only accompany an error page
 ERROR_AUX = r"""(?ix)
-    ^\W*(?:(?:please\s+)?(?:try|come\s+back|slow\s+down|check\s+back)\b[^.!?\n]{0,40}(?:again|later|minutes)|request\s+id\b|reference\s+(?:id\s+)?[0-9a-f]{4,}|error\s+(?:id\s+)?[0-9a-f]{6,}
-      |(?:log|sign)\s+in\s+again\b|whoops\b|oops\b|contact\s+the\s+(?:site|page|server)\b|go\s+back\b|zurück\s+zur\b|report\s+this\b|the\s+team\s+has\s+been\s+(?:told|notified)|reload\b|file\s+may\s+be\s+too\b|back\W*$|home\b[^.!?\n]{0,30}\||return\s+to\s+the\b)
+    ^\W*(?:(?:please\s+)?(?:try|come\s+back|slow\s+down|check\s+back)\b(?:[^.!?\n]|\.(?=\w)){0,40}(?:again|later|minutes)|request\s+id\b|reference\s+(?:id\s+)?[0-9a-f]{4,}|error\s+(?:id\s+)?[0-9a-f]{6,}
+      |(?:log|sign)\s+in\s+again\b|whoops\b|oops\b|contact\s+the\s+(?:site|page|server)\b|go\s+back\b|zurück\s+zur\b|report\s+this\b|the\s+team\s+has\s+been\s+(?:told|notified)|reload\b|file\s+may\s+be\s+too\b|back\W*$|home\b(?:[^.!?\n]|\.(?=\w)){0,30}\||return\s+to\s+the\b)
 """
 # --- fixed patterns: scripts or a browser setting are required ----------------------------------------------------
 SCRIPTS = r"""(?ix)
-    \b(?:enable|activate|allow|unblock|permit|turn\s+on|switch\s+on|aktivieren|aktiviere|erlauben|zulassen|einschalten|habilit[ae]r?|habilite|activ[ae]r?|activez|activer|autorisez|permit[ae]|ative|ativar|ligue)\b[^.!?\n]{0,30}?\b(?:java\s?script|js|scripts?|scripting|cookies)\b
-  | \b(?:java\s?script|js|scripts?|scripting|cookies)\b[^.!?\n]{0,30}?\b(?:(?:is|are|be|must\s+be|has\s+to\s+be|ist|está|est|sind)\s+(?:required|needed|disabled|off|turned\s+off|switched\s+off|blocked|enabled|erforderlich|notwendig|deaktiviert|necesario|requerido|desactivado|desativado|necessário|requis|désactivé)|activez-les|aktivieren|required|enabled\W*$)
+    \b(?:enable|activate|allow|unblock|permit|turn\s+on|switch\s+on|aktivieren|aktiviere|erlauben|zulassen|einschalten|habilit[ae]r?|habilite|activ[ae]r?|activez|activer|autorisez|permit[ae]|ative|ativar|ligue)\b(?:[^.!?\n]|\.(?=\w)){0,30}?\b(?:java\s?script|js|scripts?|scripting|cookies)\b
+  | \b(?:java\s?script|js|scripts?|scripting|cookies)\b(?:[^.!?\n]|\.(?=\w)){0,30}?\b(?:(?:is|are|be|must\s+be|has\s+to\s+be|ist|está|est|sind)\s+(?:required|needed|disabled|off|turned\s+off|switched\s+off|blocked|enabled|erforderlich|notwendig|deaktiviert|necesario|requerido|desactivado|desativado|necessário|requis|désactivé)|activez-les|aktivieren|required|enabled\W*$)
   | \bjavascript\s+(?:enabled|required|disabled|erforderlich|requis|requerido|necessário)\b
-  | \b(?:turn|switch)\b[^.!?\n]{0,20}\bscript\s?-?blocker\b[^.!?\n]{0,10}\boff\b | \b(?:disable|turn\s+off|pause)\b[^.!?\n]{0,20}\b(?:script|ad)\s?-?blocker
-  | \bbrowser\b[^.!?\n]{0,40}\b(?:does\s+not|doesn[’']t|cannot|can[’']t|n[’']accepte\s+pas|bloque|blocks|blockiert|bloqueia|unterstützt)\b[^.!?\n]{0,20}\b(?:java\s?script|js|scripts?|scripting|skripte?)\b
-  | \b(?:use|need|requires?)\b[^.!?\n]{0,20}\bbrowser\b[^.!?\n]{0,20}\b(?:java\s?script|scripts?|scripting)\b
-  | \bturn\s+it\s+on\b[^.!?\n]{0,20}\bbrowser\b
+  | \b(?:turn|switch)\b(?:[^.!?\n]|\.(?=\w)){0,20}\bscript\s?-?blocker\b(?:[^.!?\n]|\.(?=\w)){0,10}\boff\b | \b(?:disable|turn\s+off|pause)\b(?:[^.!?\n]|\.(?=\w)){0,20}\b(?:script|ad)\s?-?blocker
+  | \bbrowser\b(?:[^.!?\n]|\.(?=\w)){0,40}\b(?:does\s+not|doesn[’']t|cannot|can[’']t|n[’']accepte\s+pas|bloque|blocks|blockiert|bloqueia|unterstützt)\b(?:[^.!?\n]|\.(?=\w)){0,20}\b(?:java\s?script|js|scripts?|scripting|skripte?)\b
+  | \b(?:use|need|requires?)\b(?:[^.!?\n]|\.(?=\w)){0,20}\bbrowser\b(?:[^.!?\n]|\.(?=\w)){0,20}\b(?:java\s?script|scripts?|scripting)\b
+  | \bturn\s+it\s+on\b(?:[^.!?\n]|\.(?=\w)){0,20}\bbrowser\b
   | (?:java\s?script|スクリプト|ジャバスクリプト)[^。\n]{0,20}(?:有効|オン|必要|無効)
 """
 # --- fixed words: sentences that explain or report ------------------------------------------------------------------
