@@ -1,3 +1,33 @@
 """The SQL that states some of the subpackage's queries a second time."""
 
-SQL: dict[str, str] = {}
+_DEMO = (
+    "primaryid caseid caseversion event_dt fda_dt age age_cod sex occr_country reporter_country serious seriousnessdeath "
+    "seriousnesslifethreatening seriousnesshospitalization seriousnessdisabling seriousnesscongenitalanomali seriousnessother quarter"
+).split()
+_FILLED = " + ".join(f"(case when trim(coalesce({c}, '')) in ('', 'NA') then 0 else 1 end)" for c in _DEMO)
+_DIGITS = "regexp_extract(quarter, '([0-9]{4}|[0-9]{2})', 1)"
+
+SQL: dict[str, str] = {
+    "p4_found": f"""
+with rows as (
+  select ltrim(trim(caseid), '0') as caseid, ltrim(trim(primaryid), '0') as primaryid, ltrim(trim(caseversion), '0') as version,
+         quarter, {_FILLED} as filled,
+         case when upper(quarter) like 'Q%' then cast(right('20' || substr(replace(quarter, ' ', ''), 3), 4) as int) * 4 + cast(substr(quarter, 2, 1) as int)
+              else cast(right('20' || regexp_extract(quarter, '^([0-9]+)', 1), 4) as int) * 4 + cast(right(quarter, 1) as int) end as period
+  from current_demo where regexp_full_match(trim(caseid), '[0-9]+')
+), ranked as (
+  select *, count(*) over (partition by caseid) as n,
+         row_number() over (partition by caseid order by length(version) desc, version desc, length(primaryid) desc, primaryid desc, filled desc, period desc, quarter desc) as place
+  from rows
+)
+select caseid, primaryid, quarter from ranked where n >= 2 and place = 1""",
+    "p6_found": """
+with base as (select distinct dataset_id, primaryid, drug_text, event_pt from report_pairs),
+d as (select dataset_id, drug_text, count(distinct primaryid) as n from base group by all),
+e as (select dataset_id, event_pt, count(distinct primaryid) as n from base group by all),
+u as (select dataset_id, count(distinct primaryid) as n from base group by all),
+p as (select dataset_id, drug_text, event_pt, count(distinct primaryid) as n from base where drug_text is not null and event_pt is not null group by all)
+select p.dataset_id, p.drug_text, p.event_pt
+from p join d using (dataset_id, drug_text) join e using (dataset_id, event_pt) join u using (dataset_id)
+where p.n >= 4 and p.n * u.n >= 4 * d.n * e.n""",
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigmill.llm import bpe, canonical, contamination, encoding, residue
+from sigmill.llm import bpe, canonical, contamination, cooccurrence, encoding, residue, survivor
 from sigmill.runtime import table
 
 
@@ -18,6 +18,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restored_values(cells, drugs, events).select("field_name", "stored_text", "ref_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivor.survivors(table(spark, sf_dir, "current_demo"))
+
+
+def p4_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivor.fused(table(spark, sf_dir, "current_demo"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cooccurrence.frequent_pairs(table(spark, sf_dir, "report_pairs")).select("dataset_id", "drug_text", "event_pt")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"))
 
@@ -30,4 +42,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_fused": p4_fused,
+    "p6_found": p6_found,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p9_found": p9_found,
+}
