@@ -2,4 +2,41 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from sigmill.operators import drift, orphans
+from sigmill.runtime import table
+
+
+def _orphan_state(spark: SparkSession, sf_dir: str) -> orphans.OrphanState:
+    t = lambda name: table(spark, sf_dir, name)
+    return orphans.replay(t("demo_all"), {n: t(n) for n in ("drug_all", "reac_all")}, t("deleted_cases"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphans.broken(_orphan_state(spark, sf_dir))
+
+
+def p3_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphans.snapshot(_orphan_state(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.changes(table(spark, sf_dir, "feed_lines"), table(spark, sf_dir, "field_names"))
+
+
+def p5_demo_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.unified(table(spark, sf_dir, "feed_lines"), table(spark, sf_dir, "field_names"), "demo")
+
+
+def p5_cells_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.unified(table(spark, sf_dir, "feed_lines"), table(spark, sf_dir, "field_names"), "cells")
+
+
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_snapshot": p3_snapshot,
+    "p5_found": p5_found,
+    "p5_demo_table": p5_demo_table,
+    "p5_cells_table": p5_cells_table,
+}

@@ -1,3 +1,48 @@
 """The SQL that states each core query a second time."""
 
-SQL: dict[str, str] = {}
+_ORPHANS = """
+parents as (select ltrim(trim(primaryid), '0') as primaryid, ltrim(trim(caseid), '0') as caseid, quarter from demo_all),
+gone as (select ltrim(trim(caseid), '0') as caseid, min(quarter) as gone from deleted_cases group by 1),
+idx as (select primaryid, min(quarter) as first, min(gone) as gone from parents left join gone using (caseid) group by 1),
+refs as (
+  select distinct 'drug_all' as table_name, quarter, ltrim(trim(primaryid), '0') as primaryid from drug_all where regexp_full_match(trim(primaryid), '[0-9]+')
+  union all
+  select distinct 'reac_all', quarter, ltrim(trim(primaryid), '0') from reac_all where regexp_full_match(trim(primaryid), '[0-9]+')
+),
+judged as (
+  select table_name, refs.quarter, refs.primaryid,
+         case when idx.primaryid is null then 'missing' when first > refs.quarter then 'late' when gone <= refs.quarter then 'deleted' else 'held' end as standing
+  from refs left join idx using (primaryid)
+)"""
+
+SQL: dict[str, str] = {
+    "p3_found": f"with {_ORPHANS} select table_name, quarter, primaryid, standing as orphan_kind from judged where standing <> 'held'",
+    "p3_snapshot": f"with {_ORPHANS} select table_name, quarter, standing, count(*) as n_references from judged group by all",
+    "p5_found": r"""
+with parts as (
+  select feed, feed_kind, file_no, line_no, unnest(string_split(raw_line, case feed_kind when 'demo' then '$' else chr(9) end)) as v,
+         generate_subscripts(string_split(raw_line, case feed_kind when 'demo' then '$' else chr(9) end), 1) as pos
+  from feed_lines
+), named as (
+  select feed, feed_kind, file_no, pos, lower(regexp_replace(regexp_replace(v, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) as name from parts where line_no = 0
+), cols as (
+  select n.*, coalesce(f.field_name, n.name) as field from named n left join field_names f on f.feed_kind = n.feed_kind and f.seen_as = n.name
+), typed as (
+  select feed, file_no, pos,
+         case when bool_and(regexp_full_match(v, '[0-9]+')) then 'integer' when bool_and(regexp_full_match(v, '[0-9]+([.][0-9]*)?|[.][0-9]+')) then 'decimal'
+              when bool_and(regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) then 'date' else 'text' end as type
+  from parts where line_no > 0 and trim(v) not in ('', 'NA') group by all
+), files as (
+  select feed, file_no, lag(file_no) over (partition by feed order by file_no) as prev from (select distinct feed, file_no from feed_lines)
+), f as (
+  select c.feed, c.file_no, c.field, c.name, t.type, x.prev from cols c left join typed t using (feed, file_no, pos) join files x using (feed, file_no)
+)
+select distinct a.feed, a.file_no, a.field as field_name, 'added' as change_kind from f a left join f b on b.feed = a.feed and b.field = a.field and b.file_no = a.prev where a.prev is not null and b.feed is null
+union all
+select distinct x.feed, x.file_no, b.field, 'removed' from files x join f b on b.feed = x.feed and b.file_no = x.prev left join f a on a.feed = x.feed and a.file_no = x.file_no and a.field = b.field where a.feed is null
+union all
+select distinct a.feed, a.file_no, a.field, 'renamed' from f a join f b on b.feed = a.feed and b.field = a.field and b.file_no = a.prev where a.name <> b.name
+union all
+select distinct a.feed, a.file_no, a.field, 'retyped' from f a join f b on b.feed = a.feed and b.field = a.field and b.type is not null and b.file_no < a.file_no
+where a.type <> b.type and not exists (select 1 from f z where z.feed = a.feed and z.field = a.field and z.type is not null and z.file_no < a.file_no and z.file_no > b.file_no)""",
+}
