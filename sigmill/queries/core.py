@@ -1,13 +1,279 @@
-"""Queries over the driver's tables."""
+"""Queries over the driver's tables. Each reads whole tables; results are rounded where numbers are compared as text."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sigmill.functions.exact import chi2_p_table, fisher_table
+from sigmill.functions.ids import period, plain_id
+from sigmill.functions.stats import with_statistics
+from sigmill.functions.text import normalize_text, role_name, unknown_role
+from sigmill.operators import cases, cells, drift, live, metrics, orphans, pairs, quality, ranking, revalidate
+from sigmill.plans import engine, reports
+from sigmill.plans.protocol import DRUG_SOURCES, Protocol
+from sigmill.runtime import ensure_checkpoint_dir, table
+from sigmill.sources import delimited
+
+KEY = list(cells.CELL_KEY)
+
+
+def _rounded(df: DataFrame, digits: int = 6, **columns: str) -> DataFrame:
+    """``df`` with the named numbers rounded; -0.0 becomes 0.0."""
+    return df.withColumns({name: F.round(F.col(source), digits) + F.lit(0.0) for name, source in columns.items()})
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder in the place that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return os.path.join(spark.sparkContext.getCheckpointDir(), uuid.uuid4().hex)
+
+
+# --- report tables --------------------------------------------------------------------------------------------------
+def latest_case_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = cases.latest_versions(cases.usable(table(spark, sf_dir, "demo_all"), cases.DEMO_REQUIRED))
+    return current.select("caseid", "primaryid", "caseversion", "quarter")
+
+
+def integrity_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases.integrity_counters(*(table(spark, sf_dir, n) for n in ("demo_all", "drug_all", "reac_all")))
+
+
+def superseded_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = reports.stages(spark, sf_dir)
+    out = [cases.superseded_children(df, s.current).groupBy("primaryid").agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "primaryid", "n_rows") for n, df in (("drug_all", s.drug), ("reac_all", s.reac))]
+    return out[0].unionByName(out[1])
+
+
+def canonical_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "drug_all")
+    return raw.groupBy("primaryid").agg(F.count("*").alias("n_rows")).select("primaryid", plain_id(F.col("primaryid")).alias("plain"), "n_rows")
+
+
+def role_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "drug_all")
+    return raw.groupBy("role_cod").agg(F.count("*").alias("n_rows")).select("role_cod", role_name(F.col("role_cod")).alias("role"), unknown_role(F.col("role_cod")).alias("is_unknown"), "n_rows")
+
+
+def normalized_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "reac_all")
+    return raw.groupBy("pt").agg(F.count("*").alias("n_rows")).select("pt", normalize_text(F.col("pt")).alias("term"), "n_rows")
+
+
+def quarter_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = table(spark, sf_dir, "demo_all").withColumn("p", period(F.col("quarter"))).groupBy("p").agg(F.count("*").alias("n_rows")).where("p is not null")
+    first = F.make_date(F.floor(F.col("p") / 4).cast("int"), (F.col("p") % 4 * 3 + 1).cast("int"), F.lit(1))
+    return counted.select(orphans.quarter_name("p").alias("quarter"), first.cast("string").alias("first_day"), F.date_sub(F.add_months(first, 3), 1).cast("string").alias("last_day"), "n_rows")
+
+
+# --- pairs and cells ------------------------------------------------------------------------------------------------
+def join_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = reports.stages(spark, sf_dir)
+    return pairs.join_load(pairs.drug_components(s.drug, s.current), pairs.event_components(s.reac, s.current))
+
+
+def built_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.built_pairs(spark, sf_dir).select("primaryid", "caseid", "quarter", "drug_text", "drug_text_source", "drug_role", "event_pt", "event_category", "age", "sex", "occr_country", "serious")
+
+
+def role_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.with_rollups(table(spark, sf_dir, "report_pairs")).groupBy("dataset_id", "drug_role").agg(F.count("*").alias("n_rows"), F.count_distinct("primaryid").alias("n_reports"))
+
+
+def event_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.event_margins(table(spark, sf_dir, "report_pairs"))
+
+
+def drug_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.drug_margins(cells.with_rollups(table(spark, sf_dir, "report_pairs")))
+
+
+def universe_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.universe(table(spark, sf_dir, "report_pairs"))
+
+
+def contingency_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.built_cells(spark, sf_dir).select(*KEY, *cells.COUNTS)
+
+
+def dataset_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.cells(table(spark, sf_dir, "report_pairs")).select(*KEY, *cells.COUNTS)
+
+
+def cell_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.violations(table(spark, sf_dir, "disproportionality_cells")).groupBy("dataset_id", "violation").agg(F.count("*").alias("n_rows"))
+
+
+# --- statistics -----------------------------------------------------------------------------------------------------
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_statistics(reports.given_cells(spark, sf_dir))
+
+
+def prr_ror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("prr", "prr_low", "prr_high", "ror", "ror_low", "ror_high")
+    return _rounded(_scored(spark, sf_dir), **{n: n for n in names}).select(*KEY, "zero_corrected", *names)
+
+
+def yates_chi2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_scored(spark, sf_dir), chi2="chi2").select(*KEY, "chi2")
+
+
+def chi2_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    distinct = with_statistics(reports.given_cells(spark, sf_dir).select(*"abcd").distinct())
+    return _rounded(chi2_p_table(distinct), 9, chi2_p="chi2_p").select(*"abcd", "chi2_p")
+
+
+def screening_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select(*KEY, "outcome")
+
+
+def exploratory_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_scored(spark, sf_dir), 5, score="score").select(*KEY, "score")
+
+
+def fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tested = fisher_table(table(spark, sf_dir, "disproportionality_cells").select(*"abcd").distinct())
+    return _rounded(tested, 7, fisher_p="fisher_p").select(*"abcd", "fisher_p", "fisher_status")
+
+
+def bh_qvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(engine.analyse_all(reports.given_cells(spark, sf_dir)), 6, fdr_q="fdr_q").select(*KEY, "fdr_q")
+
+
+def drug_signal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: every cell of the snapshot with its statistics and label, strongest first."""
+    found = _rounded(with_statistics(reports.built_cells(spark, sf_dir)), prr="prr", ror="ror", chi2="chi2")
+    return found.select("drug_text", "drug_text_source", "drug_role", "event_pt", *"abcd", "prr", "ror", "chi2", "outcome").orderBy(F.col("prr").desc(), "drug_text", "drug_role", "event_pt", "drug_text_source")
+
+
+# --- ordered views --------------------------------------------------------------------------------------------------
+def top_events_for_drug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.top_events(table(spark, sf_dir, "report_pairs"))
+
+
+FAMILY = ("dataset_id", "drug_text", "drug_text_source", "drug_role")
+
+
+def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _rounded(_scored(spark, sf_dir), prr="prr", prr_low="prr_low", prr_high="prr_high")
+    return ranking.page(scored, 1, FAMILY)
+
+
+def prr_ranked_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _page(spark, sf_dir).select(*KEY, "prr", "place")
+
+
+def forest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.forest_points(_page(spark, sf_dir), FAMILY).select(*KEY, "prr", "prr_low", "prr_high", "place", "plot")
+
+
+def map_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ranking.map_coordinates(_scored(spark, sf_dir)), map_x="map_x", map_y="map_y").select(*KEY, "map_x", "map_y")
+
+
+# --- quality --------------------------------------------------------------------------------------------------------
+def population_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = reports.stages(spark, sf_dir)
+    return quality.population_counts(s.demo, s.current, reports.built_pairs(spark, sf_dir))
+
+
+def field_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    demo = table(spark, sf_dir, "demo_all")
+    return quality.field_completeness(demo, tuple(demo.columns))
+
+
+def duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = reports.stages(spark, sf_dir)
+    return quality.duplicate_components(pairs.drug_components(s.drug, s.current), pairs.event_components(s.reac, s.current))
+
+
+def qa_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = reports.stages(spark, sf_dir)
+    built = reports.built_pairs(spark, sf_dir)
+    wide = quality.population_counts(s.demo, s.current, built)
+    wide = wide.crossJoin(built.select(*cells.GROUP).distinct().agg(F.count("*").alias("distinct_drug_role_groups"))).crossJoin(built.agg(F.count_distinct("event_pt").alias("distinct_event_pts")))
+    wide = wide.crossJoin(s.demo.agg(F.count_distinct("quarter").alias("source_quarters")))  # all of one row
+    return quality.long_format(wide.withColumn("superseded_demo_rows", F.col("source_demo_rows") - F.col("current_case_reports")))
+
+
+# --- requests -------------------------------------------------------------------------------------------------------
+def _largest_request(found: DataFrame) -> Protocol:
+    """A request for the drug with the most reports of the first data set, in the role ``all``."""
+    sources = {v: k for k, v in DRUG_SOURCES.items()}
+    eligible = found.where((F.col("drug_role") == "all") & F.col("drug_text_source").isin(*sources))
+    first = eligible.agg(F.min_by(F.struct("dataset_id", "drug_text", "drug_text_source"), F.struct("dataset_id", -F.col("drug_reports"), "drug_text", "drug_text_source")).alias("r")).first()["r"]
+    return Protocol(first["dataset_id"], f"{sources[first['drug_text_source']]}:{first['drug_text']}", "all", ("prr", "ror", "fisher_exact"), "evans_educational")
+
+
+def protocol_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "disproportionality_cells")
+    rows = engine.analyse(found, _largest_request(found))
+    return _rounded(rows, prr="prr", ror="ror", chi2="chi2", fisher_p="fisher_p", fdr_q="fdr_q").select("dataset_id", "drug_text", "event_pt", *"abcd", "prr", "ror", "chi2", "fisher_p", "fdr_q", "flag")
+
+
+def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = metrics.metrics_long(metrics.with_metrics(_scored(spark, sf_dir), ("prr", "ror")), tuple(KEY))
+    return _rounded(long, estimate="estimate", lower_95="lower_95", upper_95="upper_95").select(*KEY, "method", "measure", "estimate", "lower_95", "upper_95", "input_cells", "correction_method", "added_to_each_cell")
+
+
+def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.review_flags(_scored(spark, sf_dir)).select(*KEY, "profile_id", "flag", "reason")
+
+
+def spreadsheet_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "disproportionality_cells").select("drug_text", "event_pt").distinct()
+    return metrics.spreadsheet_rows(raw.withColumn("marked", F.concat(F.lit("="), F.col("drug_text"))))
+
+
+def live_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = live.scan_all(table(spark, sf_dir, "report_pairs"))
+    return _rounded(found, prr="prr", ror="ror", chi2="chi2").select("drug_text", "event_pt", "place", *"abcd", "prr", "ror", "chi2", "label")
+
+
+def live_scan_drug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = table(spark, sf_dir, "report_pairs")
+    drug = source.groupBy("drug_text").agg(F.count_distinct("primaryid").alias("n")).agg(F.min_by("drug_text", F.struct(-F.col("n"), "drug_text"))).first()[0]
+    return _rounded(live.scan(source, drug), prr="prr", ror="ror", chi2="chi2").select("event_pt", *"abcd", "prr", "ror", "chi2", "label")
+
+
+def result_revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written to Parquet and read back, against a recomputation from the margins."""
+    given = reports.given_cells(spark, sf_dir)
+    place = _shared_folder(spark)
+    with_statistics(given).write.parquet(place)
+    recomputed = with_statistics(cells.from_margins(given.select(*KEY, "a", "drug_reports", "event_reports", "universe_reports")))
+    return revalidate.mismatches(spark.read.parquet(place), recomputed, tuple(KEY))
+
+
+# --- sources and sinks ----------------------------------------------------------------------------------------------
+def csv_scan_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DRUG written as ``$``-delimited text and scanned again."""
+    place = _shared_folder(spark)
+    raw = table(spark, sf_dir, "drug_all").select(*(F.coalesce(F.col(c), F.lit("NA")).alias(c.upper()) for c in delimited.COLUMNS["drug"]))
+    raw.write.options(sep="$", quote="", header=True, emptyValue="").csv(place)
+    scanned = delimited.scan(spark, place, "drug")
+    return scanned.groupBy("primaryid", "role_cod", "drugname", "prod_ai", "route", "dose_vbm").agg(F.count("*").alias("n_rows"))
+
+
+def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs written by quarter and read back, counted by partition."""
+    place = _shared_folder(spark)
+    delimited.write_by_quarter(table(spark, sf_dir, "report_pairs"), place)
+    return spark.read.parquet(place).groupBy("quarter").agg(F.count("*").alias("n_rows"), F.count_distinct("dataset_id", "primaryid").alias("n_reports"))
+
 
-from sigmill.operators import drift, orphans
-from sigmill.runtime import table
+def cells_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells written as tab-separated text and read back under the exact schema."""
+    place = _shared_folder(spark)
+    given = reports.given_cells(spark, sf_dir).where("drug_text_source is not null")
+    delimited.write_cells_text(given, place)
+    return delimited.read_cells_text(spark, place).groupBy("dataset_id", "drug_role").agg(F.count("*").alias("n_cells"), F.sum("a").alias("sum_a"), F.sum("d").alias("sum_d"))
 
 
+# --- references and feeds -------------------------------------------------------------------------------------------
 def _orphan_state(spark: SparkSession, sf_dir: str) -> orphans.OrphanState:
     t = lambda name: table(spark, sf_dir, name)
     return orphans.replay(t("demo_all"), {n: t(n) for n in ("drug_all", "reac_all")}, t("deleted_cases"))
@@ -33,10 +299,14 @@ def p5_cells_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unified(table(spark, sf_dir, "feed_lines"), table(spark, sf_dir, "field_names"), "cells")
 
 
-QUERIES = {
-    "p3_found": p3_found,
-    "p3_snapshot": p3_snapshot,
-    "p5_found": p5_found,
-    "p5_demo_table": p5_demo_table,
-    "p5_cells_table": p5_cells_table,
-}
+_QUERIES = (
+    latest_case_version, integrity_counters, superseded_children, canonical_ids, role_mapping, normalized_terms, quarter_coverage,
+    join_load, built_pairs, role_rollup, event_margins, drug_margins, universe_count, contingency_cells, dataset_cells, cell_violations,
+    prr_ror, yates_chi2, chi2_pvalue, screening_outcome, exploratory_score, fisher_exact, bh_qvalues, drug_signal_scan,
+    top_events_for_drug, prr_ranked_page, forest_points, map_coordinates,
+    population_counts, field_completeness, duplicate_components, qa_summary,
+    protocol_scan, metrics_long, review_flags, spreadsheet_texts, live_scan, live_scan_drug, result_revalidation,
+    csv_scan_roundtrip, parquet_roundtrip, cells_text_roundtrip,
+    p3_found, p3_snapshot, p5_found, p5_demo_table, p5_cells_table,
+)
+QUERIES = {f.__name__: f for f in _QUERIES}
