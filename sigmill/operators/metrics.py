@@ -31,7 +31,9 @@ def _metric(method: str) -> Column:
 def with_metrics(results: DataFrame, methods: tuple[str, ...] = tuple(MEASURES)) -> DataFrame:
     """``results`` with ``metrics``: one struct for each asked method in order; an exact test that wasn't computed is left out."""
     listed = F.array(*(_metric(m) for m in sorted(methods)))
-    return results.withColumn("metrics", F.filter(listed, lambda m: m["estimate"].isNotNull()))
+    if "fisher_exact" in methods:  # the other methods always have an estimate
+        listed = F.filter(listed, lambda m: m["estimate"].isNotNull())
+    return results.withColumn("metrics", listed)
 
 
 def metrics_long(results: DataFrame, keep: tuple[str, ...]) -> DataFrame:

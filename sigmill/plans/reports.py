@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmill.operators import cases, cells, pairs
-from sigmill.runtime import table
+from sigmill.runtime import cut, table
 
 DATASET = "sigmill-all"
 
@@ -22,12 +22,15 @@ class Stages:
 
 
 def stages(spark: SparkSession, sf_dir: str) -> Stages:
-    """The received tables; children that don't belong to a received report of their case are set aside."""
+    """The received tables; children that don't belong to a received report of their case are set aside.
+
+    The received and the current reports are read several times by what follows, so they are written once.
+    """
     raw = {n: table(spark, sf_dir, n) for n in ("demo_all", "drug_all", "reac_all")}
-    demo = cases.received_once(raw["demo_all"])
+    demo = cut(cases.received_once(raw["demo_all"]))
     index = demo.select("primaryid", "caseid")
     children = [cases.usable(raw[n], ("primaryid", "caseid")).join(index, ["primaryid", "caseid"], "left_semi") for n in ("drug_all", "reac_all")]
-    return Stages(demo, children[0], children[1], cases.latest_versions(demo))
+    return Stages(demo, children[0], children[1], cut(cases.latest_versions(demo)))
 
 
 def built_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +39,7 @@ def built_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def built_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells.cells(built_pairs(spark, sf_dir))
+    return cells.cells(cut(built_pairs(spark, sf_dir).select("dataset_id", "primaryid", *cells.GROUP, "event_pt")))
 
 
 def given_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,3 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it needs to tell."""
     return df.limit(rows + 1).count() <= rows
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """``df`` with at least as many partitions as there are cores, for costly work on rows of a small input.
+
+    A large input has more partitions than that by itself and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over the session's shuffle partitions, for costly work on rows that an aggregation left in few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
