@@ -7,22 +7,24 @@ from pyspark.sql import functions as F
 
 #: fixed values: texts that mean "missing" besides NULL
 MISSING = ("", "NA")
-_BLANKS = r"^[ \t\r\n]+|[ \t\r\n]+$"
+_BLANKS = " \t\r\n"
 
 
 def trimmed(column: Column) -> Column:
-    return F.regexp_replace(column, _BLANKS, "")
+    return F.btrim(column, F.lit(_BLANKS))
 
 
 def present(column: Column) -> Column:
     """The column with NULL for values that mean missing."""
-    return F.when(column.isin(*MISSING), None).otherwise(column)
+    for text in MISSING:
+        column = F.nullif(column, F.lit(text))
+    return column
 
 
 def plain_id(column: Column) -> Column:
     """A decimal id of any length without blanks and leading zeros; NULL unless it is a positive whole number."""
     text = trimmed(column)
-    digits = F.regexp_replace(text, "^0+", "")
+    digits = F.ltrim(text, F.lit("0"))
     return F.when(text.rlike("^[0-9]+$") & (digits != ""), digits)
 
 

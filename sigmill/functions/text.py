@@ -14,20 +14,19 @@ SUSPECT_ROLES = ("primary_suspect", "secondary_suspect")
 ALL_ROLES = ("primary_suspect", "secondary_suspect", "concomitant", "interacting", "suspect", "all")
 #: fixed values: first signs that a spreadsheet takes for a formula
 FORMULA_START = "^[=+@-]"
+#: fixed values: white space of Unicode
+WHITE_SPACE = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def normalize_text(column: Column) -> Column:
     """Upper case, outer white space off, inner runs of white space as one blank; NULL stays."""
-    return F.upper(F.regexp_replace(trimmed(column), r"(?U)\s+", " "))
+    return F.upper(F.regexp_replace(trimmed(column), WHITE_SPACE, " "))
 
 
 def role_name(column: Column) -> Column:
     """Name of a role code; NULL for a missing or unknown code (see ``unknown_role``)."""
-    code = F.upper(trimmed(column))
-    name = F.lit(None).cast("string")
-    for key, value in ROLES.items():
-        name = F.when(code == key, value).otherwise(name)
-    return name
+    names = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
+    return F.try_element_at(names, F.upper(trimmed(column)))
 
 
 def unknown_role(column: Column) -> Column:
@@ -43,7 +42,8 @@ def drug_text(prod_ai: Column, drugname: Column) -> Column:
 
 def drug_text_source(prod_ai: Column, drugname: Column) -> Column:
     """Which field the drug text comes from; NULL where both are missing."""
-    return F.when(present(normalize_text(prod_ai)).isNotNull(), "PROD_AI").when(present(normalize_text(drugname)).isNotNull(), "DRUGNAME")
+    there = lambda c: present(F.upper(trimmed(c))).isNotNull()
+    return F.when(there(prod_ai), "PROD_AI").when(there(drugname), "DRUGNAME")
 
 
 def is_formula(column: Column) -> Column:

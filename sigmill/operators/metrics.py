@@ -38,7 +38,8 @@ def with_metrics(results: DataFrame, methods: tuple[str, ...] = tuple(MEASURES))
 
 def metrics_long(results: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """A row for each metric of each result."""
-    return results.select(*keep, F.explode("metrics").alias("m")).select(*keep, "m.*")
+    # the outer form: for the inner one the optimiser infers a filter that builds all arrays a second time
+    return results.select(*keep, F.explode_outer("metrics").alias("m")).select(*keep, "m.*").where("method is not null")
 
 
 def review_flags(results: DataFrame, profile: str = "evans_educational") -> DataFrame:
