@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigmill.runtime import widened
+
 VOCABULARY_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 #: Bytes of text that one round of array operations takes; bounds a task's memory. A longer text is a slice of its own.
 SLICE_BYTES = 1 << 21
@@ -321,4 +323,4 @@ def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", path:
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("key"), lists], names=["key", "ids"])
 
-    return picked.mapInArrow(encode, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return widened(picked).mapInArrow(encode, f"key {kind}, ids array<int>").withColumnRenamed("key", key)

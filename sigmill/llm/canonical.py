@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sigmill.llm import encoding
-from sigmill.runtime import cut
+from sigmill.runtime import cut, spread
 
 #: Least similarity of a token to the list's token that it is repaired to.
 TOKEN_SIMILARITY = 0.75
@@ -141,7 +141,7 @@ def tokens_of(texts: DataFrame, session_model: tuple, joined: bool = True) -> Da
                     rows += [(text, n, w) for w in words]
             yield pd.DataFrame(rows, columns=["text", "reading", "token"])
 
-    return texts.mapInPandas(split, "text string, reading int, token string")
+    return spread(texts).mapInPandas(split, "text string, reading int, token string")
 
 
 def _with_variants(df: DataFrame, column: str) -> DataFrame:
@@ -151,7 +151,7 @@ def _with_variants(df: DataFrame, column: str) -> DataFrame:
                 rows = [(t, v) for t in batch[column].iloc[low : low + 500] for v in (*variants(t, DELETIONS), *(halves(t, 1) if len(t) >= 11 else ()))]
                 yield pd.DataFrame(rows, columns=[column, "variant"])
 
-    return df.select(column).distinct().mapInPandas(expand, f"{column} string, variant string")
+    return spread(df.select(column).distinct()).mapInPandas(expand, f"{column} string, variant string")
 
 
 def repairs(tokens: DataFrame, entry_tokens: DataFrame, least: float = TOKEN_SIMILARITY) -> DataFrame:
@@ -163,7 +163,7 @@ def repairs(tokens: DataFrame, entry_tokens: DataFrame, least: float = TOKEN_SIM
             yield batch[batch["similarity"] >= least]
 
     pairs = _with_variants(tokens, "token").join(_with_variants(entry_tokens, "entry_token"), "variant").select("token", "entry_token").distinct()
-    close = pairs.mapInPandas(measure, "token string, entry_token string, similarity double")
+    close = spread(pairs).mapInPandas(measure, "token string, entry_token string, similarity double")
     return close.unionByName(cut_short(tokens, entry_tokens))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sigmill.runtime import bounded, cut
+from sigmill.runtime import bounded, cut, widened
 
 RUN_WORDS = 13
 SHINGLE_WORDS = 5
@@ -150,7 +150,7 @@ def passages(df: DataFrame, key: str, text: str, wanted: np.ndarray | None, size
                 names=["key", "at", "words", "hits", "places"],
             )
 
-    return picked.mapInArrow(scan, f"key {kind}, at int, words array<string>, hits array<bigint>, places array<int>").withColumnRenamed("key", key)
+    return widened(picked).mapInArrow(scan, f"key {kind}, at int, words array<string>, hits array<bigint>, places array<int>").withColumnRenamed("key", key)
 
 
 def _hits(stretches: DataFrame, *keep: str) -> DataFrame:

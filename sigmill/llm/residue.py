@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from sigmill.runtime import widened
 
 #: Share of a block's words that dummy text, error messages or notices must make up.
 DENSITY = 0.5
@@ -220,4 +221,4 @@ def residue(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(kinds, pa.string())], names=["doc_id", "kind"])
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(search, f"doc_id {kind}, kind string").distinct()
+    return widened(picked).mapInArrow(search, f"doc_id {kind}, kind string").distinct()
