@@ -124,8 +124,8 @@ def fisher_two_sided(tables: np.ndarray) -> tuple[np.ndarray, list[str]]:
     """p and status of each row (a, b, c, d): ``batch_required`` where it takes too many terms, ``invalid`` for others."""
     tables = np.asarray(tables, np.int64).reshape(-1, 4)
     p, status = np.full(len(tables), np.nan), [INVALID] * len(tables)
-    total = tables.astype(np.float64).sum(1) if len(tables) else np.zeros(0)
-    valid = np.flatnonzero((tables >= 0).all(1) & (total <= EXACT_COUNT))
+    fits = ((tables >= 0) & (tables <= EXACT_COUNT)).all(1)
+    valid = np.flatnonzero(fits & (np.where(fits[:, None], tables, 0).sum(1) <= EXACT_COUNT))
     if not len(valid):
         return p, status
     own = canonical(tables[valid])
