@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sigmill.functions.ids import present
 from sigmill.llm import encoding
 from sigmill.runtime import cut, spread
 
@@ -209,11 +210,11 @@ def map_values(texts: DataFrame, entries: DataFrame, model: tuple, least: float
 
 def typed_names(cells: DataFrame, drugs: DataFrame) -> DataFrame:
     """``dataset_id``, ``drug_text``, ``ref_id`` of the cells' product names that aren't letter for letter in the list."""
-    listed = drugs.select(F.explode(F.array("drug_name", "brand_name")).alias("drug_text")).where("drug_text is not null").distinct()
+    names = drugs.select("ref_id", F.explode(F.array("drug_name", "brand_name")).alias("form")).select("ref_id", present(F.col("form")).alias("form"))
+    listed = names.where("form is not null").select(F.col("form").alias("drug_text")).distinct()
     source = F.upper(F.regexp_replace("drug_text_source", r"[^A-Za-z0-9]+", ""))
     cases = cells.where(source == "DRUGNAME").select("dataset_id", "drug_text").distinct().join(listed, "drug_text", "left_anti")
     cases = cut(cases.where("drug_text is not null"))
-    entries = drugs.select("ref_id", F.explode(F.array("drug_name", "brand_name")).alias("form"))
     model = encoding.train(drugs, "drug_name")
-    mapped = map_values(cases.select(F.col("drug_text").alias("text")), entries, model)
+    mapped = map_values(cases.select(F.col("drug_text").alias("text")), names, model)
     return cases.join(mapped.withColumnRenamed("text", "drug_text"), "drug_text").select("dataset_id", "drug_text", "ref_id", "score")

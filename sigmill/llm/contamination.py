@@ -12,9 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sigmill.runtime import bounded, cut, widened
 
@@ -22,8 +21,10 @@ RUN_WORDS = 13
 SHINGLE_WORDS = 5
 #: Bytes of text that one round of array operations takes; bounds a task's memory. A longer text is a slice of its own.
 SLICE_BYTES = 1 << 21
-#: Distinct item shingles up to which the corpus is filtered by a broadcast list; beyond, by a shuffled semi-join.
+#: Item shingles that are sent to the executors at once to filter the corpus; more items go in several blocks.
 FILTER_SHINGLES = 2_000_000
+#: Words of a stretch of text that is kept for verification; bounds what is carried along with each shingle in it.
+STRETCH_WORDS = 64
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -103,112 +104,108 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         low = high
 
 
-def passages(df: DataFrame, key: str, text: str, wanted: np.ndarray | None, size: int, run: int) -> DataFrame:
-    """Stretches of the texts around shingles of ``wanted`` (None: all), wide enough for any run about them.
+def item_windows(items: DataFrame, run: int = RUN_WORDS, size: int = SHINGLE_WORDS) -> DataFrame:
+    """Every window of ``run`` words of every item: ``item_id``, ``words`` and the ``shingles`` in it, in order."""
+    picked = items.select(F.col("item_id").alias("key"), "text")
+    kind = picked.schema["key"].dataType.simpleString()
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, words, shingles = [], [], []
+            for first, data, bounds in _slices(batch.column("text")):
+                w = Words(data, bounds, size)
+                for n in range(len(bounds) - 1):
+                    for low in range(int(w.first[n]), int(w.first[n + 1]) - run + 1):
+                        keys.append(first + n)
+                        words.append(w.text(low, low + run).split(" "))
+                        shingles.append(w.shingles[low : low + run - size + 1])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keys, pa.int64())), pa.array(words, pa.list_(pa.string())), pa.array(shingles, pa.list_(pa.int64()))], names=["key", "words", "shingles"])
+
+    return picked.mapInArrow(cut_out, f"key {kind}, words array<string>, shingles array<bigint>").withColumnRenamed("key", "item_id")
+
 
-    One row by stretch: ``key``, ``at`` (number of its first word in the text), ``words`` (array), and ``hits`` (the
-    shingles in it with their word number in the text). Stretches that touch are one, so no word is written twice.
+def stretches(documents: DataFrame, wanted: np.ndarray, run: int = RUN_WORDS, size: int = SHINGLE_WORDS, most: int = STRETCH_WORDS) -> DataFrame:
+    """Stretches of the documents around the ``wanted`` shingles, each wide enough for any run about a shingle in it.
+
+    ``doc_id``, ``at`` (number of the first word in the text), ``words``, ``hits`` (the shingles that belong to the
+    stretch) and ``places`` (their word numbers). Near shingles share a stretch of at most ``most`` words.
     """
-    picked = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    picked = widened(documents.select(F.col("doc_id").alias("key"), "text"))
     kind = picked.schema["key"].dataType.simpleString()
-    session = df.sparkSession.sparkContext
-    shared = None if wanted is None else session.broadcast(np.sort(wanted))
+    shared = documents.sparkSession.sparkContext.broadcast(np.sort(wanted))
     reach = run - size
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared is not None:
-            listed = shared.value
-            coarse = np.zeros(1 << 20, bool)
-            coarse[listed & 0xFFFFF] = True
+        listed = shared.value
+        coarse = np.zeros(1 << 20, bool)
+        coarse[listed & 0xFFFFF] = True
         for batch in batches:
-            keys, at, words, hits, where = [], [], [], [], []
+            keys, at, words, hits, places = [], [], [], [], []
             for first, data, bounds in _slices(batch.column("text")):
                 w = Words(data, bounds, size)
-                if shared is None:
-                    hit = np.flatnonzero(w.whole)
-                else:
-                    hit = np.flatnonzero(w.whole & coarse[w.shingles & 0xFFFFF])
-                    place = np.minimum(np.searchsorted(listed, w.shingles[hit]), len(listed) - 1)
-                    hit = hit[listed[place] == w.shingles[hit]]
-                if not len(hit):
-                    continue
+                hit = np.flatnonzero(w.whole & coarse[w.shingles & 0xFFFFF])
+                place = np.minimum(np.searchsorted(listed, w.shingles[hit]), len(listed) - 1)
+                hit = hit[listed[place] == w.shingles[hit]]
                 owner = w.text_of[hit]
                 low = np.maximum(hit - reach, w.first[owner])
                 high = np.minimum(hit + run, w.first[owner + 1])
-                fresh = np.ones(len(hit), bool)
-                fresh[1:] = (owner[1:] != owner[:-1]) | (low[1:] > high[:-1])
-                groups = np.append(np.flatnonzero(fresh), len(hit))
-                for a, b in zip(groups[:-1].tolist(), groups[1:].tolist()):
+                a = 0
+                while a < len(hit):
+                    last = int(np.searchsorted(high, low[a] + most, "right"))  # high rises along the hits
+                    b = max(a + 1, min(last, a + int(np.searchsorted(owner[a:last], owner[a], "right"))))
                     begin = w.first[owner[a]]
                     keys.append(first + int(owner[a]))
                     at.append(int(low[a] - begin))
                     words.append(w.text(int(low[a]), int(high[b - 1])).split(" "))
                     hits.append(w.shingles[hit[a:b]])
-                    where.append((hit[a:b] - begin).astype(np.int32))
+                    places.append((hit[a:b] - begin).astype(np.int32))
+                    a = b
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(keys, pa.int64())), pa.array(at, pa.int32()), pa.array(words, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.int64())), pa.array(where, pa.list_(pa.int32()))],
+                [batch.column("key").take(pa.array(keys, pa.int64())), pa.array(at, pa.int32()), pa.array(words, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
                 names=["key", "at", "words", "hits", "places"],
             )
 
-    return widened(picked).mapInArrow(scan, f"key {kind}, at int, words array<string>, hits array<bigint>, places array<int>").withColumnRenamed("key", key)
+    return picked.mapInArrow(scan, f"key {kind}, at int, words array<string>, hits array<bigint>, places array<int>").withColumnRenamed("key", "doc_id")
 
 
-def _hits(stretches: DataFrame, *keep: str) -> DataFrame:
-    """One row by shingle of the stretches: ``shingle`` and its word number ``place``."""
+def _block(documents: DataFrame, windows: DataFrame, run: int, size: int) -> DataFrame:
+    """(``doc_id``, ``item_id``) of the documents that hold one of the windows; the windows' shingles fit a broadcast."""
+    wanted = np.array([r[0] for r in windows.select(F.explode("shingles")).distinct().collect()], np.int64)
+    found = cut(stretches(documents, wanted, run, size))
     pair = F.explode(F.arrays_zip("hits", "places")).alias("hit")
-    return stretches.select(*keep, pair).select(*keep, F.col("hit.hits").alias("shingle"), F.col("hit.places").alias("place"))
-
-
-def _window(words: Column, low: Column, run: int) -> Column:
-    return F.slice(words, low + 1, run)
-
-
-def leaked_items(
-    documents: DataFrame, items: DataFrame, run: int = RUN_WORDS, size: int = SHINGLE_WORDS, filter_shingles: int = FILTER_SHINGLES
-) -> DataFrame:
-    """Distinct (``doc_id``, ``item_id``) of documents and items that share a run of at least ``run`` words.
-
-    Words are runs of A-Z a-z 0-9 in lower case. NULL and empty texts, and texts of fewer than ``run`` words, share
-    nothing; rows with a NULL key come out with it if their text matches; repeated rows and ties give one row; an empty
-    table on either side gives an empty result. Only the key and text columns are read.
-    """
-    item_stretches = cut(passages(items, "item_id", "text", None, size, run))
-    windows = (
-        item_stretches.select("item_id", "at", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - run, F.lit(0)))).alias("low"))
-        .where(F.size("words") - F.col("low") >= run)
-        .select("item_id", (F.col("at") + F.col("low")).alias("from_word"), _window(F.col("words"), F.col("low"), run).alias("window"))
-    )
-    item_hits = _hits(item_stretches, "item_id")
-    shingles = item_hits.select("shingle").distinct()
-    if bounded(shingles, filter_shingles):
-        wanted = np.array([r[0] for r in shingles.collect()], np.int64)
-        if not len(wanted):
-            wanted = np.zeros(1, np.int64)
-        stretches = cut(passages(documents, "doc_id", "text", wanted, size, run))
-        doc_hits = _hits(stretches, "doc_id", "at", "words")
-    else:  # an evaluation set too large to send: every shingle of the corpus meets the list in a shuffle
-        stretches = passages(documents, "doc_id", "text", None, size, run)
-        doc_hits = cut(_hits(stretches, "doc_id", "at", "words").join(shingles, "shingle", "left_semi"))
-    rarity = doc_hits.groupBy("shingle").agg(F.count("*").alias("found"))
-    # the prefix of a window: of its shingles, all of which are necessary, the rarest in the corpus
-    inside = item_hits.join(rarity, "shingle", "left").withColumn("found", F.coalesce("found", F.lit(0)))
-    spread = windows.select("item_id", "from_word", "window", F.explode(F.sequence(F.lit(0), F.lit(run - size))).alias("offset"))
-    spread = spread.withColumn("place", F.col("from_word") + F.col("offset"))
-    prefix = (
-        spread.join(inside, ["item_id", "place"])
-        .withColumn("order", F.row_number().over(Window.partitionBy("item_id", "from_word").orderBy("found", "shingle", "offset")))
-        .where((F.col("order") == 1) & (F.col("found") > 0))
-        .select("shingle", "offset", "window", "item_id")
-    )
-    prefix = cut(prefix)
+    hits = found.select("doc_id", "at", "words", pair).select("doc_id", "at", "words", F.col("hit.hits").alias("shingle"), F.col("hit.places").alias("place"))
+    rarity = found.select(F.explode("hits").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("found"))
+    # the prefix of a window: of its shingles, all of which are necessary, the rarest in the corpus; if one doesn't
+    # occur at all, no document has the window
+    each = windows.select("window", F.posexplode("shingles").alias("offset", "shingle")).join(rarity, "shingle", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    rarest = each.groupBy("window").agg(F.min_by(F.struct("shingle", "offset", "found"), F.struct("found", "shingle", "offset")).alias("prefix")).where("prefix.found > 0")
+    prefix = cut(rarest.join(windows.select("window", "item_id", F.col("words").alias("run")), "window").select("prefix.shingle", "prefix.offset", "run", "item_id"))
     if bounded(prefix):
         prefix = F.broadcast(prefix)
     low = F.col("place") - F.col("offset") - F.col("at")
     return (
-        doc_hits.join(prefix, "shingle")
-        .where((low >= 0) & (low + run <= F.size("words")))
-        .where(_window(F.col("words"), low, run) == F.col("window"))
+        hits.join(prefix, "shingle")
+        .where((low >= 0) & (low + run <= F.size("words")))  # the window lies inside the text
+        .where(F.slice("words", low + 1, run) == F.col("run"))
         .select("doc_id", "item_id")
         .distinct()
     )
 
+
+def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN_WORDS, size: int = SHINGLE_WORDS, filter_shingles: int = FILTER_SHINGLES) -> DataFrame:
+    """Distinct (``doc_id``, ``item_id``) of documents and items that share a run of at least ``run`` words.
+
+    Words are runs of A-Z a-z 0-9 in lower case. NULL and empty texts, and texts of fewer than ``run`` words, share
+    nothing; rows with a NULL key come out with it if their text matches; repeated rows and ties give one row; an empty
+    table on either side gives an empty result. Only the key and text columns are read. Items with more shingles than
+    ``filter_shingles`` go against the corpus in blocks.
+    """
+    windows = cut(item_windows(items, run, size).withColumn("window", F.monotonically_increasing_id()))
+    total = windows.count() * (run - size + 1)
+    blocks = max(1, -(-total // filter_shingles))
+    out = None
+    for n in range(blocks):
+        own = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == n)
+        found = _block(documents, own, run, size)
+        out = found if out is None else out.unionByName(found)
+    return out if blocks == 1 else out.distinct()
