@@ -29,7 +29,7 @@ def branch(value: Column) -> Column:
     return (
         F.when(text.isNull() | text.isin("", "NA"), None)
         .when(text.rlike("^[0-9]+$"), "integer")
-        .when(text.rlike("^(?:[0-9]+[.]?[0-9]*|[.][0-9]+)$"), "decimal")
+        .when(text.rlike("^[0-9]+([.][0-9]+)?$"), "decimal")
         .when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), "date")
         .otherwise("text")
     )

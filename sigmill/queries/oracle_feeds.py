@@ -29,7 +29,7 @@ with parts as (
   select n.*, coalesce(f.field_name, n.name) as field from named n left join field_names f on f.feed_kind = n.feed_kind and f.seen_as = n.name
 ), typed as (
   select feed, file_no, pos,
-         case when bool_and(regexp_full_match(v, '[0-9]+')) then 'integer' when bool_and(regexp_full_match(v, '[0-9]+([.][0-9]*)?|[.][0-9]+')) then 'decimal'
+         case when bool_and(regexp_full_match(v, '[0-9]+')) then 'integer' when bool_and(regexp_full_match(v, '[0-9]+([.][0-9]+)?')) then 'decimal'
               when bool_and(regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) then 'date' else 'text' end as type
   from parts where line_no > 0 and trim(v) not in ('', 'NA') group by all
 ), files as (

@@ -71,7 +71,7 @@ def test_changes(spark):
             5: ["x$caseid", "7$1"],
             6: ["caseid$age$x$", "1$9$"],
         },
-        ("g", "cells"): {2: ["n11\ta b", "1\t2.0"], 5: ["a\ta-b", "1.\t.5", "\t"], 6: ["a", "2021-01-01"]},
+        ("g", "cells"): {2: ["n11\ta b", "1\t2.0"], 5: ["a\ta-b", "1.0\t0.5", "\t"], 6: ["a", "2021-01-01"]},
     }
     got = {(r.feed, r.file_no, r.field_name, r.change_kind) for r in drift.changes(lines(spark, feeds), names).collect()}
     assert got == {
