@@ -26,6 +26,8 @@ from sigmill.runtime import cut, spread
 TOKEN_SIMILARITY = 0.75
 #: Least share of an entry's weight that the repaired tokens must cover.
 ENTRY_COVERAGE = 0.75
+#: What a share may lose in rounding.
+ROUNDING = 1e-9
 #: Edits allowed by length of the list's token: (least length, edits).
 EDITS = ((12, 3), (8, 2), (5, 1), (0, 0))
 #: Deletions on which the variants join. Three edits within two deletions each are reached through the halves of a word.
@@ -202,7 +204,7 @@ def map_values(texts: DataFrame, entries: DataFrame, model: tuple, least: float
         .groupBy("text", "reading", "ref_id", "form")
         .agg(F.sum(F.col("weight") * F.col("similarity")).alias("mass"), F.max("total").alias("total"))
         .withColumn("coverage", F.col("mass") / F.col("total"))
-        .where(F.col("coverage") >= least)
+        .where(F.col("coverage") >= least - ROUNDING)
     )
     top = scores.groupBy("text").agg(F.max_by(F.struct("ref_id", "coverage"), F.struct("mass", "coverage", -F.col("ref_id"))).alias("top"))
     return distinct.join(top, "text", "left").select("text", F.coalesce("top.ref_id", F.lit(0)).cast("long").alias("ref_id"), F.col("top.coverage").alias("score"))

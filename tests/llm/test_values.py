@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from sigmill.llm import canonical, encoding
@@ -83,6 +85,17 @@ def test_no_list_and_ties(spark, lists):
     assert [r.ref_id for r in canonical.map_values(texts, same, model).collect()] == [7]
 
 
+def test_every_name_is_known_by_its_first_half(spark, lists):
+    """However the weights round, a token of just the least similarity covers its entry."""
+    rng = random.Random(8)
+    names = ["".join(rng.choice("ABDEFGIJKLMNOPRSTUVX") for _ in range(rng.choice((9, 11, 12, 13)))) for _ in range(60)]
+    model = encoding.train(lists[0], "drug_name")
+    entries = spark.createDataFrame(list(enumerate(names, 1)), "ref_id long, form string")
+    got = canonical.map_values(spark.createDataFrame([(n[: -(-len(n) // 2)],) for n in names if len(n) > 10], "text string"), entries, model)
+    want = {n[: -(-len(n) // 2)]: k for k, n in enumerate(names, 1) if len(n) > 10}
+    assert {r.text: r.ref_id for r in got.collect()} == want
+
+
 def test_distance():
     assert canonical.distance("abcd", "abdc", 2) == 1 and canonical.distance("abc", "", 2) == 3 and canonical.distance("kitten", "sitting", 5) == 3 and canonical.distance("", "", 0) == 0
     assert canonical.similarity("FLYMREALTOPHENT", "FLYMREALTOFENT") > 0.9
