@@ -135,7 +135,8 @@ def tokens_of(texts: DataFrame, session_model: tuple, joined: bool = True) -> Da
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                readings = [text] + [r for c, r, n, _ in encoding.diagnose(text, classes, model) if c != "lost"][:3]
+                found = sorted(encoding.diagnose(text, classes, model), key=lambda r: r[2])
+                readings = [text] + [r for c, r, _, _ in found if c != "lost"][:3]
                 for n, reading in enumerate(readings):
                     parts = _TOKEN.findall(plain(reading))
                     words = {p for p in parts if len(p) >= TOKEN_LETTERS and not p.isdigit()}

@@ -7,6 +7,7 @@ taken back; a value of which nothing decodes was not garbled.
 
 from __future__ import annotations
 
+import itertools
 import math
 import unicodedata
 from collections.abc import Iterator
@@ -21,6 +22,8 @@ BUCKETS = 4096
 #: Entries of the reference lists that the classifier is trained on at most; the lists have a fixed size.
 TRAINING_ENTRIES = 20_000
 SUBSTITUTE = "�"
+#: Sequences of a value up to which each may be a correct pair of letters that only looks garbled.
+MAYBE_CORRECT = 4
 
 #: Chains, by name: the code pages in which UTF-8 bytes were read, first step first. ``latin1`` leaves control characters.
 CHAINS: dict[str, tuple[str, ...]] = {
@@ -69,30 +72,34 @@ def garble(text: str, chain: tuple[str, ...]) -> str:
     return text
 
 
-def undo(text: str, page: str) -> tuple[str, int]:
-    """``text`` with every strictly decodable sequence taken back, and their number.
+def sequences(text: str, page: str) -> list[tuple[str, str | None]]:
+    """``text`` in parts, each with what it decodes to: a well-formed UTF-8 character beyond ASCII, or None.
 
-    A sequence counts only if all its characters are bytes of the page and together one well-formed UTF-8 character
-    beyond ASCII; everything else stays, so a value that is garbled in part is restored in part.
+    A part decodes only if all its characters are bytes of the page and together strictly one such character; every
+    other character is a part that stays, so a value that is garbled in part is restored in part.
     """
     table = TO_BYTE[page]
-    out, found, at = [], 0, 0
+    parts: list[tuple[str, str | None]] = []
+    at = 0
     while at < len(text):
         lead = table.get(text[at], 0)
         width = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
-        if width and at + width <= len(text):
-            tail = [table.get(c, 0) for c in text[at + 1 : at + width]]
-            if all(0x80 <= b <= 0xBF for b in tail):
-                try:
-                    out.append(bytes([lead, *tail]).decode())
-                    found += 1
-                    at += width
-                    continue
-                except UnicodeDecodeError:
-                    pass
-        out.append(text[at])
-        at += 1
-    return "".join(out), found
+        raw, decoded = text[at : at + max(1, width)], None
+        if width and len(raw) == width:
+            try:
+                decoded = bytes([lead, *(table.get(c, 0) for c in raw[1:])]).decode()
+            except UnicodeDecodeError:
+                pass
+        raw = raw if decoded else text[at]
+        parts.append((raw, decoded))
+        at += len(raw)
+    return parts
+
+
+def undo(text: str, page: str) -> tuple[str, int]:
+    """``text`` with every decodable sequence taken back, and their number."""
+    parts = sequences(text, page)
+    return "".join(decoded or raw for raw, decoded in parts), sum(decoded is not None for _, decoded in parts)
 
 
 def restore(text: str, chain: tuple[str, ...]) -> tuple[str, bool]:
@@ -104,6 +111,21 @@ def restore(text: str, chain: tuple[str, ...]) -> tuple[str, bool]:
     return text, True
 
 
+def in_part(text: str, chain: tuple[str, ...]) -> Iterator[str]:
+    """``text`` with the chain undone but some sequences of its last step left, as correct letters may look like one.
+
+    Of more than ``MAYBE_CORRECT`` sequences none is doubted.
+    """
+    for page in reversed(chain[1:]):
+        text = undo(text, page)[0]
+    parts = sequences(text, chain[0])
+    places = [n for n, (_, decoded) in enumerate(parts) if decoded]
+    if 2 <= len(places) <= MAYBE_CORRECT:
+        for size in range(len(places) - 1, 0, -1):
+            for taken in itertools.combinations(places, size):
+                yield "".join(decoded if n in taken else raw for n, (raw, decoded) in enumerate(parts))
+
+
 def bigram_buckets(text: str) -> np.ndarray:
     """Hashed byte bigrams of a text in UTF-8 that touch a byte beyond ASCII; the others are alike in all chains."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
@@ -171,6 +193,9 @@ def diagnose(text: str, classes: list[str], model: np.ndarray) -> list[tuple[str
         fixed, ok = restore(composed, CHAINS[classes[n]])
         if ok and plausible(fixed) and fixed not in readings:
             readings[fixed] = (classes[n], fixed, rank, bool(scores[n] > clean))
+            for other in in_part(composed, CHAINS[classes[n]]):  # only worth something if it is a listed text
+                if plausible(other):
+                    readings.setdefault(other, (classes[n], other, rank + len(classes), False))
     return list(readings.values())
 
 
@@ -182,7 +207,7 @@ def plausible(text: str) -> bool:
 
 
 def garbled_values(values: DataFrame, classes: list[str], model: np.ndarray) -> DataFrame:
-    """The readings (see ``diagnose``) of the distinct (field_name, stored_text): at most one row for each chain.
+    """The readings (see ``diagnose``) of the distinct (field_name, stored_text): a few rows for each chain.
 
     NULL and empty values are in order; very long ones are treated whole; an empty table gives an empty result.
     """

@@ -31,6 +31,11 @@ def test_partly_garbled_text_is_restored_in_part():
     assert encoding.undo("ÃNIMO ÂNGULO", "cp1252") == ("ÃNIMO ÂNGULO", 0)
 
 
+def test_correct_letters_beside_garbled_ones_may_stay(lists):
+    assert encoding.restore("QUARVÃ‹ÄŠIVAST", ("cp1252",)) == ("QUARVËĊIVAST", True)
+    assert "QUARVËÄŠIVAST" in encoding.in_part("QUARVÃ‹ÄŠIVAST", ("cp1252",))
+
+
 def test_held_out_chains(lists, spark):
     """Of held-out words garbled in the common ways, the first listed reading is the word itself."""
     drugs, events = lists
