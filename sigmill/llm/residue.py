@@ -62,6 +62,7 @@ STOCK = r"""(?ix)^\W*(?:
   | (?:please\s+)?(?:replace|delete|remove|overwrite|edit)\s+(?:me\b|this\s+(?:text|line|paragraph|cell|section|sentence|placeholder)\b)
   | (?:text|content|description|summary)\s+(?:goes\s+here|to\s+follow|coming\s+soon)\b
   | coming\s+soon\W*$
+  | ここに(?:本文|テキスト|文章|説明|内容)を | (?:hier|ihr)\s+(?:text|beschreibung)\s+(?:einfügen|eingeben|hier)\b | (?:escriba|escribe|inserte|introduzca)\s+(?:su|el|la|tu|un|una)\s+\w+\s+aquí\b | (?:votre|insérez\s+votre)\s+\w+\s+ici\b | (?:seu|insira\s+seu)\s+\w+\s+aqui\b
 )"""
 # --- fixed patterns: error pages -----------------------------------------------------------------------------------
 STATUS = r"""(?ix)^\W*(?:(?:http|error|status|code|oops|sorry|fehler|erreur|estado|erro)\W*){0,3}\(?(?:4\d\d|5\d\d)\)?(?=\W|$)(?P<rest>.*)$"""
@@ -73,6 +74,8 @@ ERROR = r"""(?ix)
   | \b(?:service|server|site|dienst|servicio|serviço)\b(?:[^.!?\n]|\.(?=\w)){0,30}?(?:unavailable|overloaded|nicht\s+(?:erreichbar|verfügbar)|no\s+(?:está\s+)?disponible|indisponible|indisponível|(?:could|can)\s?(?:not|n[’']t)\s+(?:answer|be\s+reached|respond))
   | \bservice\s+(?:temporarily\s+)?unavailable\b | \bgateway\s+time-?\s?out\b | \brequest\s+time-?\s?out\b | \btoo\s+many\s+requests\b | \binternal\s+server\s+error\b
   | ^\W*(?:\d{3}\s+)?gone\s*(?::|$)
+  | 見つかりません | 存在しません | アクセスが拒否 | アクセスできません | アクセス権 | エラーが発生 | 接続できません | 利用できません | 応答していません | 找不到 | 无法访问 | 찾을\s?수\s?없습니다
+  | \b(?:pagina|risorsa)\s+non\s+trovata\b | \bacceso\s+denegado\b | \baccès\s+(?:refusé|interdit)\b | \bzugriff\s+verweigert\b | \bacesso\s+negado\b | страница\s+не\s+найдена
   | \ban?\s+unexpected\s+(?:problem|error)\b | \bsomething\s+went\s+wrong\b | \bwe\s+hit\s+a\s+snag\b | \bsomething\s+(?:broke|failed|is\s+broken)\b | \b(?:your\s+)?session\s+(?:has\s+)?(?:ended|expired|timed\s+out)\b | \bplease\s+(?:log|sign)\s+in\b | \bthe\s+link\s+has\s+expired\b
   | \bnot\s+allowed\s+to\s+(?:see|view|access|open)\b | \byou\s+(?:need|do\s+not\s+have|don[’']t\s+have)\s+permission\b
   | \b(?:could\s+not|couldn[’']t|cannot|can[’']t|unable\s+to|failed\s+to)\s+(?:render|load|display|open|be\s+reached|be\s+displayed|be\s+shown|be\s+loaded|find\s+(?:the|that|this)\s+(?:page|file))\b
@@ -119,6 +122,7 @@ _ANCHOR = re.compile(
     r"|(?:replace|delete|remove|overwrite|edit) (?:me|this)|coming soon|to follow|\b(?:insert|type|write|enter|add|put|describe|paste|fill in) (?:an?|your|the|some|short|brief)\b"
     r"|(?:^|[\n#(:]|error|status|oops|http|code|sorry|erro|fehler|erreur|estado)[^\w\n]*[45]\d\d\b|not found|forbidden|denied|authori|\bbad (?:gate|requ)|unavailable|time-? ?out|timed out|too many|server error|\bgone\b|unexpected|\bwrong\b|\bsnag\b|expired|has ended|broke\b|allowed to|permission"
     r"|(?:could ?n|cann|can[’']t|unable|failed)\w*.{0,3}(?:to|ot)? ?(?:rend|load|disp|open|be |find)|to respond|exist|encontrad|introuvable|nicht (?:gef|err|verf)|disponible|indispon|\bmoved\b|overload|log in"
+    r"|見つかりません|存在しません|アクセス|エラー|できません|応答して|ここに|找不到|无法|찾을|non trovata|denegado|accès|verweigert|negado|не найдена|einfügen|eingeben|aquí|\bici\b|aqui\b"
     r"|script|\bjs\b|cookie|browser|navigat|スクリプト|有効|[̀-ͯ]"
 )
 

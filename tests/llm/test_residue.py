@@ -12,7 +12,7 @@ LEFT_OVER = {
     "dummy": ["Lorem ipsum dolor sit amet.", "Dummy content. Dummy content.", "Your text here.", "Click to edit this cell.", "asdf asdf asdf", "To be replaced before publishing.", "Filler, filler.", "Type your answer here, then delete this line.",
               "sed plavit ipsa nulle ipsa palor vestra tincor valis negro valis nulle eda"],
     "error": ["503 Service Temporarily Unavailable\nPlease come back in a few minutes.", "Oops, 404. the link has expired!", "(500) we hit a snag.\nGo back to the start page.", "Access denied\nYou need permission to open /a/b.ipynb. Error e68f595a",
-              "<html><head><title>403 Forbidden</title></head><body><center>403 Forbidden</center></body></html>", "Seite nicht gefunden – zurück zur Startseite", "Página no encontrada\nLa dirección /u/1/x.ipynb no existe."],
+              "<html><head><title>403 Forbidden</title></head><body><center>403 Forbidden</center></body></html>", "Seite nicht gefunden – zurück zur Startseite", "ページが見つかりません（bd202272）", "Página no encontrada\nLa dirección /u/1/x.ipynb no existe."],
     "scripts": ["Please enable JavaScript to view this notebook.", "Bitte aktivieren Sie JavaScript, um das Notizbuch anzuzeigen.", "Loading widget… (scripts are turned off)", "For the full viewer, turn your script blocker off!",
                 "JavaScript is required. Turn it on in your browser settings and reload.", "Votre navigateur bloque les scripts ; activez-les pour afficher cette page."],
 }
@@ -27,6 +27,7 @@ FINE = [
     "TODO later: pivot again once the ticket export is fixed.",
     "We compare $x_{i}$ with \\frac{a}{b} for all 500 rows.",
     "```\n{{ name }}\n```",
+    "shareの値が7を超えたので、もう一度確認してください。結果は少しおかしいです（4件）。",
     "",
 ]
 
