@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sigmill.errors import InvalidTable
 from sigmill.functions.stats import EXACT_COUNT
 from sigmill.functions.text import SUSPECT_ROLES
-from sigmill.runtime import bounded
+from sigmill.runtime import bounded, cut
 
 #: fixed values: constant columns of the cell table
 COMPARATOR, EVENT_SCOPE, DEDUPLICATION = "all_other_eligible_reports", "all_recorded_source_pts", "MAX_CASEVERSION_PER_CASEID_THEN_MAX_PRIMARYID"
@@ -54,7 +54,7 @@ def cells(pairs: DataFrame, dataset_id: str | None = None) -> DataFrame:
     known = pairs.where(" and ".join(f"{c} is not null" for c in ("dataset_id", "primaryid", *GROUP, "event_pt")))
     rolled = with_rollups(known)
     a = rolled.groupBy("dataset_id", *GROUP, "event_pt").agg(F.count("*").alias("a"))
-    events, total = event_margins(known), universe(known)
+    events, total = cut(event_margins(known)), cut(universe(known))  # small, and read once more to be counted
     if bounded(events):  # there are no more data sets than (data set, event) rows
         events, total = F.broadcast(events), F.broadcast(total)
     full = a.join(drug_margins(rolled), ["dataset_id", *GROUP]).join(events, ["dataset_id", "event_pt"]).join(total, "dataset_id")
