@@ -2,8 +2,8 @@
 
 The state has three keyed tables: the parent index (report, case, first period), the withdrawals (case, first period)
 and the references with their standing. A batch advances it: new references probe the parent index, arriving parents
-settle the references that wait for them, and a withdrawal reopens references of its case. Only references whose report
-the batch touches are looked at again. All inputs are reduced to distinct keys before they are shuffled, so that a key
+settle the references that wait for them, and a withdrawal reopens references of its case. Only new references and those
+whose report the batch touches are judged. All inputs are reduced to distinct keys before they are shuffled, so that a key
 with a third of all rows is as small as any other.
 """
 
@@ -51,31 +51,28 @@ def references_of(child: DataFrame, name: str) -> DataFrame:
     return child.select(F.lit(name).alias("table_name"), period(F.col("quarter")).alias("period"), plain_id(F.col("primaryid")).alias("primaryid")).where("primaryid is not null").distinct()
 
 
-def standings(references: DataFrame, parents: DataFrame, withdrawn: DataFrame) -> DataFrame:
-    """The references with their standing: missing, late, deleted or held, the first that applies."""
-    index = parents.join(withdrawn.withColumnRenamed("first", "gone"), "caseid", "left").groupBy("primaryid").agg(F.min("first").alias("first"), F.min("gone").alias("gone"), F.lit(True).alias("known"))
-    probed = references.select("table_name", "period", "primaryid").join(index, "primaryid", "left")
-    standing = F.when(F.col("known").isNull(), "missing").when(F.col("first") > F.col("period"), "late").when(F.col("gone") <= F.col("period"), "deleted").otherwise("held")
-    return probed.select("table_name", "period", "primaryid", standing.alias("standing"))
-
-
 def advance(state: OrphanState, references: DataFrame, parents: DataFrame, withdrawn: DataFrame) -> OrphanState:
-    """The state after a batch of new references, parents and withdrawals (as the ``*_of`` functions make them)."""
-    all_parents = cut(state.parents.unionByName(parents).groupBy("primaryid", "caseid").agg(F.min("first").alias("first")))
-    all_withdrawn = cut(state.withdrawn.unionByName(withdrawn).groupBy("caseid").agg(F.min("first").alias("first")))
-    touched = (
-        parents.select("primaryid")
-        .unionByName(all_parents.join(withdrawn.select("caseid"), "caseid", "left_semi").select("primaryid"))
-        .unionByName(references.select("primaryid"))
-        .distinct()
-        .withColumn("again", F.lit(True))
+    """The state after a batch of new references, parents and withdrawals (as the ``*_of`` functions make them).
+
+    A reference is missing, late, deleted or held, the first that applies. New references are judged, and so are those
+    whose parent or withdrawal the batch brought; the others keep their standing. What the batch touched is marked on
+    the index rows, so one join of references and index does both.
+    """
+    both = lambda old, new: old.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True)))
+    merged = [F.min("first").alias("first"), F.max("new").alias("new")]
+    all_parents = cut(both(state.parents, parents).groupBy("primaryid", "caseid").agg(*merged))
+    all_withdrawn = cut(both(state.withdrawn, withdrawn).groupBy("caseid").agg(*merged))
+    gone = all_withdrawn.select("caseid", F.col("first").alias("gone"), F.col("new").alias("newly_gone"))
+    index = (
+        all_parents.join(gone, "caseid", "left")
+        .groupBy("primaryid")
+        .agg(F.min("first").alias("first"), F.min("gone").alias("gone"), F.max(F.col("new") | F.coalesce("newly_gone", F.lit(False))).alias("touched"))
     )
-    # one pass over the state: what the batch doesn't touch keeps its standing, new references have none yet
-    merged = state.references.unionByName(references.withColumn("standing", F.lit(None).cast("string"))).groupBy("table_name", "period", "primaryid").agg(F.max("standing").alias("standing"))
-    marked = merged.join(touched, "primaryid", "left")
-    settled = marked.where("again is null").drop("again")
-    open_again = standings(marked.where("again"), all_parents, all_withdrawn)
-    return OrphanState(all_parents, all_withdrawn, cut(settled.unionByName(open_again)))
+    known = state.references.unionByName(references.withColumn("standing", F.lit(None).cast("string"))).groupBy("primaryid", "table_name", "period").agg(F.max("standing").alias("before"))
+    probed = known.join(index, "primaryid", "left")
+    judged = F.when(F.col("touched").isNull(), "missing").when(F.col("first") > F.col("period"), "late").when(F.col("gone") <= F.col("period"), "deleted").otherwise("held")
+    standing = F.when(F.col("before").isNull() | F.coalesce("touched", F.lit(False)), judged).otherwise(F.col("before"))
+    return OrphanState(all_parents.drop("new"), all_withdrawn.drop("new"), cut(probed.select("table_name", "period", "primaryid", standing.alias("standing"))))
 
 
 def quarter_name(column: str):
