@@ -17,14 +17,33 @@ COUNTS = ("a", "b", "c", "d", "drug_reports", "event_reports", "universe_reports
 GROUP = ("drug_text", "drug_text_source", "drug_role")
 
 
+#: Bit of each recorded role; a rolled-up role is there if one of its bits is.
+_BITS = {role: 1 << n for n, role in enumerate(("primary_suspect", "secondary_suspect", "concomitant", "interacting"))}
+_SUSPECT = sum(_BITS[r] for r in SUSPECT_ROLES)
+
+
+def _one_row_each(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Distinct keys with ``drug_role`` exploded to the recorded and the rolled-up roles.
+
+    The roles of a key travel as bits of one number, so a key is one row in the shuffle and the roles are unfolded
+    only after it; what comes out is distinct without another pass.
+    """
+    bit = F.lit(0)
+    for role, value in _BITS.items():
+        bit = F.when(F.col("drug_role") == role, value).otherwise(bit)
+    held = pairs.groupBy(*keys).agg(F.bit_or(bit).alias("bits"))
+    has = lambda bits: F.col("bits").bitwiseAND(F.lit(bits)) != 0
+    roles = F.array(*(F.when(has(value), F.lit(role)) for role, value in _BITS.items()), F.when(has(_SUSPECT), F.lit("suspect")), F.lit("all"))
+    return held.select(*keys, F.explode(F.array_compact(roles)).alias("drug_role"))
+
+
 def with_rollups(pairs: DataFrame) -> DataFrame:
     """Distinct (dataset, report, drug, source, role, event) with the roles ``suspect`` (primary or secondary) and ``all``.
 
-    The rolled-up roles overlap the others, so a report with one drug in two roles counts once in each of them.
+    The rolled-up roles overlap the others, so a report with one drug in two roles counts once in each of them. A role
+    other than the four recorded ones counts in ``all`` only.
     """
-    also = F.when(F.col("drug_role").isin(*SUSPECT_ROLES), F.array("drug_role", F.lit("suspect"), F.lit("all"))).otherwise(F.array("drug_role", F.lit("all")))
-    keys = ["dataset_id", "primaryid", "drug_text", "drug_text_source", "event_pt"]
-    return pairs.select(*keys, F.explode(also).alias("drug_role")).distinct()
+    return _one_row_each(pairs, "dataset_id", "primaryid", "drug_text", "drug_text_source", "event_pt")
 
 
 def event_margins(pairs: DataFrame) -> DataFrame:
@@ -32,9 +51,9 @@ def event_margins(pairs: DataFrame) -> DataFrame:
     return pairs.select("dataset_id", "event_pt", "primaryid").distinct().groupBy("dataset_id", "event_pt").agg(F.count("*").alias("event_reports"))
 
 
-def drug_margins(rolled: DataFrame) -> DataFrame:
-    """Distinct reports of each drug, source and role."""
-    return rolled.select("dataset_id", *GROUP, "primaryid").distinct().groupBy("dataset_id", *GROUP).agg(F.count("*").alias("drug_reports"))
+def drug_margins(pairs: DataFrame) -> DataFrame:
+    """Distinct reports of each drug, source and role, rolled-up roles included."""
+    return _one_row_each(pairs, "dataset_id", "primaryid", "drug_text", "drug_text_source").groupBy("dataset_id", *GROUP).agg(F.count("*").alias("drug_reports"))
 
 
 def universe(pairs: DataFrame) -> DataFrame:
@@ -52,12 +71,11 @@ def cells(pairs: DataFrame, dataset_id: str | None = None) -> DataFrame:
     if dataset_id is not None:
         pairs = pairs.withColumn("dataset_id", F.lit(dataset_id))
     known = pairs.where(" and ".join(f"{c} is not null" for c in ("dataset_id", "primaryid", *GROUP, "event_pt")))
-    rolled = with_rollups(known)
-    a = rolled.groupBy("dataset_id", *GROUP, "event_pt").agg(F.count("*").alias("a"))
+    a = with_rollups(known).groupBy("dataset_id", *GROUP, "event_pt").agg(F.count("*").alias("a"))
     events, total = cut(event_margins(known)), cut(universe(known))  # small, and read once more to be counted
     if bounded(events):  # there are no more data sets than (data set, event) rows
         events, total = F.broadcast(events), F.broadcast(total)
-    full = a.join(drug_margins(rolled), ["dataset_id", *GROUP]).join(events, ["dataset_id", "event_pt"]).join(total, "dataset_id")
+    full = a.join(drug_margins(known), ["dataset_id", *GROUP]).join(events, ["dataset_id", "event_pt"]).join(total, "dataset_id")
     full = full.withColumns({"b": F.col("drug_reports") - F.col("a"), "c": F.col("event_reports") - F.col("a")})
     full = full.withColumn("d", F.col("universe_reports") - F.col("a") - F.col("b") - F.col("c"))
     constants = {"comparator": F.lit(COMPARATOR), "event_scope": F.lit(EVENT_SCOPE), "deduplication_policy": F.lit(DEDUPLICATION)}

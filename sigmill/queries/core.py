@@ -88,7 +88,7 @@ def event_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drug_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells.drug_margins(cells.with_rollups(table(spark, sf_dir, "report_pairs")))
+    return cells.drug_margins(table(spark, sf_dir, "report_pairs"))
 
 
 def universe_count(spark: SparkSession, sf_dir: str) -> DataFrame:
