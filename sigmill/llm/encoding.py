@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sigmill.runtime import cut
+
 #: Buckets that the byte bigrams are hashed to.
 BUCKETS = 4096
 #: Entries of the reference lists that the classifier is trained on at most; the lists have a fixed size.
@@ -226,31 +228,35 @@ def garbled_values(values: DataFrame, classes: list[str], model: np.ndarray) ->
 
 
 def restored_values(cells: DataFrame, drugs: DataFrame, events: DataFrame) -> DataFrame:
-    """Distinct garbled ``drug_text`` and ``event_pt`` of the cells with the ``ref_id`` of the listed text they were.
+    """Garbled ``drug_text`` and ``event_pt`` of each dataset's cells with the ``ref_id`` of the listed text they were.
+
+    A value is diagnosed once, however many datasets hold it, and comes out once for each of them.
 
     Of a value's readings the likeliest that is a listed text is taken; a value of which no reading is listed is a case
     only if the classifier holds a chain likelier than clean text. A value that is itself a listed text is none.
-    ``ref_id`` is 0 where characters were lost, and where the restored text is in no list. Rows: ``field_name``,
-    ``stored_text``, ``ref_id``, ``chain``, ``restored``. Rows of NULL or ASCII text give nothing, repeated rows one
-    row, equal list entries the smallest id; empty tables give an empty result.
+    ``ref_id`` is 0 where characters were lost, and where the restored text is in no list. Rows: ``dataset_id``,
+    ``field_name``, ``stored_text``, ``ref_id``, ``chain``, ``restored``. Rows of NULL or ASCII text give nothing,
+    repeated rows of a dataset one row, equal list entries the smallest id; a NULL dataset comes out as it is; empty
+    tables give an empty result.
     """
     listed = drugs.select(F.lit("drug_text").alias("field_name"), F.col("drug_name").alias("entry"), "ref_id").unionByName(
         events.select(F.lit("event_pt").alias("field_name"), F.col("event_pt").alias("entry"), "ref_id")
     )
     classes, model = train(listed, "entry")
-    values = (
-        cells.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field_name"), F.col(c).alias("stored_text")) for c in ("drug_text", "event_pt")))).alias("v"))
-        .select("v.*")
+    held = cut(
+        cells.select("dataset_id", F.explode(F.array(*(F.struct(F.lit(c).alias("field_name"), F.col(c).alias("stored_text")) for c in ("drug_text", "event_pt")))).alias("v"))
+        .select("dataset_id", "v.*")
         .where(F.col("stored_text").rlike(r"[^\x00-\x7F]"))
         .distinct()
     )
+    values = held.select("field_name", "stored_text").distinct()
     entries = listed.where("entry is not null").groupBy("field_name", F.upper("entry").alias("whole")).agg(F.min("ref_id").alias("listed_id"))
     readings = garbled_values(values, classes, model).withColumn("whole", F.upper("restored")).join(entries, ["field_name", "whole"], "left")
     best = readings.groupBy("field_name", "stored_text").agg(
         F.min_by(F.struct("chain", "restored", "listed_id", "likely"), F.struct(F.col("listed_id").isNull(), "rank")).alias("best")
     )
     in_order = entries.select("field_name", "whole")
-    return (
+    found = (
         best.withColumn("whole", F.upper("stored_text"))
         .join(in_order, ["field_name", "whole"], "left_anti")
         .where("best.listed_id is not null or best.likely")
@@ -262,3 +268,4 @@ def restored_values(cells: DataFrame, drugs: DataFrame, events: DataFrame) -> Da
             F.col("best.restored").alias("restored"),
         )
     )
+    return held.join(found, ["field_name", "stored_text"]).select("dataset_id", *found.columns)

@@ -15,7 +15,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, drugs, events = (table(spark, sf_dir, t) for t in ("disproportionality_cells", "drug_reference", "event_terms"))
-    return encoding.restored_values(cells, drugs, events).select("field_name", "stored_text", "ref_id")
+    return encoding.restored_values(cells, drugs, events).select("dataset_id", "field_name", "stored_text", "ref_id")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

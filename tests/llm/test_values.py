@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from sigmill.llm import canonical, encoding
+from sigmill.llm import canonical, encoding, queries
 
 DRUGS = [(1, "HAUNDBEADRIL", "PAUNDXAUO"), (2, "SKIRHUADRIL", None), (3, "XÉSKRORENDIL", None), (4, "TROSLÈNÊPTAL / DRIOLKRUOQUAR", None), (5, "ŠEAXTROYSTÀR", ""), (6, None, "LELTBEAIX")]
 EVENTS = [(11, "RASH – DELAYED"), (12, "SUEÑO AGITADO"), (13, "TEMPERATURE ABOVE 39 °C"), (14, "DOR NO CORAÇÃO"), (15, None)]
@@ -67,6 +67,17 @@ def test_restored_values(spark, lists):
     assert {r.ref_id for r in encoding.restored_values(cell_rows(spark, rows), lists[0].limit(0), lists[1].limit(0)).collect()} <= {0}
 
 
+def test_a_value_garbled_in_several_datasets_comes_out_for_each(spark, lists, tmp_path):
+    bad = encoding.garble("XÉSKRORENDIL", ("cp1252",))
+    rows = [("d", bad, "PROD_AI", "RASH"), ("d", bad, "PROD_AI", "PAIN"), ("e", bad, None, "RASH"), (None, bad, None, "RASH"), ("f", "XÉSKRORENDIL", None, "SUE�O AGITADO"), ("g", "SUE�O AGITADO", None, "RASH")]
+    for name, df in (("disproportionality_cells", cell_rows(spark, rows)), ("drug_reference", lists[0]), ("event_terms", lists[1])):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = queries.p2_found(spark, str(tmp_path))
+    assert got.columns == ["dataset_id", "field_name", "stored_text", "ref_id"]
+    want = [(d, "drug_text", bad, 3) for d in ("d", "e", None)] + [("f", "event_pt", "SUE�O AGITADO", 0), ("g", "drug_text", "SUE�O AGITADO", 0)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 TYPED = {
     "HAUNDBEADRIL 100 MG TABS": 1, "HAUNDBBEADRIL": 1, "haundbeadril": 1, "HUANDBEADRIL": 1, "H4UNDBEADRIL": 1, "HAUNDBEA DRIL": 1, "HAUNDBEA.DRIL INJ.": 1, "HAUNDBE": 1, "PAUNDXAO": 1, "TAB. PAUNDKSAUO": 1,
     "XESKRORENDIL": 3, "XÃ‰SKRORENDIL": 3, "X�SKRORENDIL": 3, "DRIOLKRUOQUAR+TROSLENEPTAL": 4, "TROSLENEPTAL, DRIOLKRUOKUAR 25 IU": 4, "SEAXTROYSTAR": 5, "LELTBEAIKS (GENERIC)": 6,
