@@ -8,10 +8,10 @@ sentence patterns, and count only where they make up the larger part of their bl
 
 from __future__ import annotations
 
-import operator
 import re
 import unicodedata
 from collections.abc import Iterator
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -115,16 +115,62 @@ _SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n+|\s+[|]\s+")
 _BLOCK = re.compile(r"\n[ \t\r]*\n")
 _COMMENT = re.compile(r"^#[ \t]?", re.M)
 _WORD = re.compile(r"\w+")
-#: A cell without any of these has no case; spares most cells the patterns above.
-_ANCHOR = re.compile(
-    r"\{[\w{%#\s]|<[%<a-z]|@@|&&|%[a-z]|\[\[|__[a-z]|xx_|(?:goes|comes|belongs|go) here|\[\s*(?:insert|enter|add|your|fill|type|write|put|replace|tb|todo)|\((?:tb|todo|fixme)"
-    r"|lorem|dummy|filler|placeholder|(?:sample|example|blind) (?:cont|text|para|copy|sent|titl|word)|\bhere\W{0,3}(?:\n|$)|\bbe (?:repl|writ|fill|comp|add|anno|dete|done|supp|prov)|\bto (?:edit|add|change)\b"
-    r"|(?:replace|delete|remove|overwrite|edit) (?:me|this)|coming soon|to follow|\b(?:insert|type|write|enter|add|put|describe|paste|fill in) (?:an?|your|the|some|short|brief)\b"
-    r"|(?:^|[\n#(:]|error|status|oops|http|code|sorry|erro|fehler|erreur|estado)[^\w\n]*[45]\d\d\b|not found|forbidden|denied|authori|\bbad (?:gate|requ)|unavailable|time-? ?out|timed out|too many|server error|\bgone\b|unexpected|\bwrong\b|\bsnag\b|expired|has ended|broke\b|allowed to|permission"
-    r"|(?:could ?n|cann|can[’']t|unable|failed)\w*.{0,3}(?:to|ot)? ?(?:rend|load|disp|open|be |find)|to respond|exist|encontrad|introuvable|nicht (?:gef|err|verf)|disponible|indispon|\bmoved\b|overload|log in"
-    r"|見つかりません|存在しません|アクセス|エラー|できません|応答して|ここに|找不到|无法|찾을|non trovata|denegado|accès|verweigert|negado|не найдена|einfügen|eingeben|aquí|\bici\b|aqui\b"
-    r"|script|\bjs\b|cookie|browser|navigat|スクリプト|有効|[̀-ͯ]"
-)
+#: fixed values: characters that patterns without case take for another than ``str.lower`` gives
+_CASELESS = str.maketrans({"İ": "i", "ı": "i", "ſ": "s", "ᲀ": "в", "ᲁ": "д", "ᲂ": "о", "ᲃ": "с", "ᲄ": "т", "ᲅ": "т", "ᲆ": "ъ", "ᲇ": "ѣ", "ᲈ": "ꙋ"})
+
+
+def folded(text: str) -> str:
+    """``text`` as the words of ``Needs`` are looked up in it."""
+    return text.lower() if text.isascii() else text.translate(_CASELESS).lower()
+
+
+class Needs:
+    """Words without which a pattern can't match, read off the pattern itself; spares most cells the search.
+
+    Each alternative has its own list of sets of words; a match of it holds a word of every set. An alternative
+    without fixed letters has an empty list, and may then match any text.
+    """
+
+    def __init__(self, pattern: str) -> None:
+        tree = _parser.parse(pattern)
+        alone = len(tree) == 1 and tree[0][0] is _parser.BRANCH
+        self.alternatives = [[sorted(words) for words in self._sets(t)] for t in (tree[0][1][1] if alone else [tree])]
+
+    @classmethod
+    def _sets(cls, tree) -> list[frozenset[str]]:
+        found, run = [], ""
+        for what, value in [*tree, (None, None)]:
+            if what is _parser.LITERAL and not chr(value).isspace():
+                run += folded(chr(value))
+                continue
+            if run:
+                found.append(frozenset([run]))
+            run = ""
+            if what is _parser.BRANCH:
+                each = [cls._sets(t) for t in value[1]]
+                if all(each):  # one set holds for the whole branch: of each alternative the set with the longest words
+                    found.append(frozenset().union(*(max(sets, key=lambda ws: (min(map(len, ws)), -len(ws))) for sets in each)))
+            elif what is _parser.SUBPATTERN:
+                found += cls._sets(value[-1])
+            elif what in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0]:
+                found += cls._sets(value[2])
+        return found
+
+    def met(self, low: str) -> bool:
+        """Whether the pattern may match in a text, given ``folded``, or in a part of it."""
+        for sets in self.alternatives:
+            for words in sets:
+                for word in words:
+                    if word in low:
+                        break
+                else:
+                    break
+            else:
+                return True
+        return False
+
+
+_PLACEHOLDER_NEEDS, _ERROR_NEEDS, _SCRIPTS_NEEDS = Needs("|".join(f"(?:{p})" for p in PLACEHOLDERS.values())), Needs(ERROR), Needs(SCRIPTS)
 
 
 def _plain(cell: str) -> str:
@@ -150,12 +196,10 @@ def cell_case(cell: str, whole: bool = False) -> str | None:
 
     ``whole``: the text isn't a notebook, so it is one block, with menus and the like around a message.
     """
-    low = cell.lower()
-    tokens = low.split()
-    if not _ANCHOR.search(low) and not any(map(operator.eq, tokens, tokens[1:])) and (len(tokens) < 10 or not FUNCTION_WORDS.isdisjoint(tokens)):
-        return None
     prose = _plain(unicodedata.normalize("NFC", cell))
-    for sentence in _SENTENCE.split(prose):
+    low = folded(prose)
+    errors, scripts = _ERROR_NEEDS.met(low), _SCRIPTS_NEEDS.met(low)
+    for sentence in _SENTENCE.split(prose) if _PLACEHOLDER_NEEDS.met(low) else ():
         if (hits := _PLACEHOLDER.findall(sentence)) and not (len(hits) <= 2 and _EXPLAINS.search(_PLACEHOLDER.sub(" ", sentence))):
             return "placeholder"
     for block in [prose] if whole else _BLOCK.split(prose):
@@ -172,9 +216,9 @@ def cell_case(cell: str, whole: bool = False) -> str | None:
                 parts["dummy"] += len(own)
             elif _REPORTS.search(sentence) and not _NAMED.match(sentence):
                 continue
-            elif _SCRIPTS.search(sentence):
+            elif scripts and _SCRIPTS.search(sentence):
                 parts["scripts"] += len(own)
-            elif _ERROR.search(sentence):
+            elif errors and _ERROR.search(sentence):
                 parts["error"] += len(own)
                 status = True
             elif (m := _STATUS.match(sentence)) and (_NAMED.match(sentence) and not _REPORTS.search(m["rest"]) or re.match(r"\W*\(?[45]\d\d\)?\s*[–:)-]", sentence) or not m["rest"].strip(" .!")) and len(own) <= 12:

@@ -1,3 +1,7 @@
+import random
+import re
+from re import _parser
+
 import pytest
 from pyspark.sql import types as T
 
@@ -44,6 +48,59 @@ def test_cells_that_only_write_about_it(cell):
     assert residue.cell_case(cell) is None
 
 
+SHORT = {
+    "placeholder": ["< insert name >", "( TBD: course id)", "[ tbc ]"],
+    "dummy": ["Describe results below.", "Blind copy"],
+    "error": ["The page you requested has been removed.", "This file was deleted.", "Please sign in.", "Something failed.", "Something is broken.", "The server could not answer.", "Payload too large", "THE PAGE WAS DELETED.", "Thıſ fİle waſ deleted."],
+    "scripts": ["Please disable your ad blocker.", "Turn off the ad-blocker."],
+}
+
+
+@pytest.mark.parametrize("kind, cell", [(k, c) for k, cells in SHORT.items() for c in cells])
+def test_a_short_cell_alone(kind, cell):
+    assert residue.cell_case(cell) == kind
+
+
+def written(tree, rng):
+    """A text that the parsed pattern matches, positions and looks around aside."""
+    out = ""
+    for what, value in tree:
+        if what is _parser.LITERAL:
+            out += chr(value)
+        elif what is _parser.BRANCH:
+            out += written(rng.choice(value[1]), rng)
+        elif what is _parser.SUBPATTERN:
+            out += written(value[-1], rng)
+        elif what in (_parser.MAX_REPEAT, _parser.MIN_REPEAT):
+            out += "".join(written(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + 2))))
+        elif what is _parser.IN and value[0][0] is _parser.NEGATE:
+            out += rng.choice("w ")
+        elif what is _parser.IN:
+            out += next((chr(v if w is _parser.LITERAL else v[0]) for w, v in value if w in (_parser.LITERAL, _parser.RANGE)), "7" if (_parser.CATEGORY, _parser.CATEGORY_DIGIT) in value else " " if (_parser.CATEGORY, _parser.CATEGORY_SPACE) in value else "w")
+    return out
+
+
+@pytest.mark.parametrize("pattern", ["|".join(f"(?:{p})" for p in residue.PLACEHOLDERS.values()), residue.ERROR, residue.SCRIPTS], ids=["placeholders", "error", "scripts"])
+def test_no_alternative_is_spared(pattern):
+    """Texts made from each alternative alone: whatever the pattern matches has the words that it needs."""
+    rng, needs, found, tree = random.Random(5), residue.Needs(pattern), re.compile(pattern), _parser.parse(pattern)
+    for alternative in tree[0][1][1]:
+        texts = [text for made in (written(alternative, rng) for _ in range(300)) for text in (made, made.upper()) if found.search(text)]
+        assert texts and all(needs.met(residue.folded(text)) for text in texts)
+
+
+def test_needs_of_a_pattern():
+    assert residue.Needs(r"(?i)Ab\s+(?:c?|de)|f(?:gh|ij)+k*").alternatives == [[["ab"]], [["f"], ["gh", "ij"]]]
+    assert residue.Needs(r"\d+").met("")
+
+
+def test_folding_is_that_of_patterns():
+    every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
+    words = {w for n in (residue._PLACEHOLDER_NEEDS, residue._ERROR_NEEDS, residue._SCRIPTS_NEEDS) for sets in n.alternatives for ws in sets for w in ws}
+    for char in set("".join(words)):
+        assert {residue.folded(c) for c in re.findall(re.escape(char), every, re.I)} == {char}
+
+
 def test_documents(spark):
     text = "Some prose.\n\nIn [1]:\n{{ name }}\n\n🙂 {{ name }}"
     at = text.index("In [1]"), text.index("🙂")
