@@ -20,9 +20,11 @@ from sigmill.runtime import widened
 
 #: Share of a block's words that dummy text, error messages or notices must make up.
 DENSITY = 0.5
-#: Words of a block beyond which an error message or notice is a mention inside longer prose.
+#: Words up to which any error message or notice makes a whole text a case; of a longer one it must be the larger part.
 NOTICE_WORDS = 60
-#: Words of a sentence beyond which a stock instruction is a mention inside longer prose.
+#: Words up to which a piece of a whole text without an end mark is a menu or footer entry, which is no prose.
+MENU_WORDS = 6
+#: Words of a sentence beyond which a stock instruction counts only if it is one of ``STOCK_LONG``.
 STOCK_WORDS = 12
 
 # --- fixed patterns: placeholders, by delimiter -------------------------------------------------------------------
@@ -64,6 +66,12 @@ STOCK = r"""(?ix)^\W*(?:
   | coming\s+soon\W*$
   | ここに(?:本文|テキスト|文章|説明|内容)を | (?:hier|ihr)\s+(?:text|beschreibung)\s+(?:einfügen|eingeben|hier)\b | (?:escriba|escribe|inserte|introduzca)\s+(?:su|el|la|tu|un|una)\s+\w+\s+aquí\b | (?:votre|insérez\s+votre)\s+\w+\s+ici\b | (?:seu|insira\s+seu)\s+\w+\s+aqui\b
 )"""
+# stock instructions that no prose starts with, however long the sentence
+STOCK_LONG = r"""(?ix)^\W*(?:
+    (?:double-?\s?)?click\s+(?:here\s+)?to\s+(?:edit|add|change)\b
+  | (?:insert|type|write|enter|add|put|describe|paste|fill\s+in)\s+(?:(?:your|a|an|the|some|short)\s+)+(?:\w+\s+){0,4}?here\b
+  | (?:please\s+)?(?:replace|delete|remove|overwrite|edit)\s+this\s+(?:text|paragraph|cell|section|sentence|placeholder)\b
+)"""
 # --- fixed patterns: error pages -----------------------------------------------------------------------------------
 STATUS = r"""(?ix)^\W*(?:(?:http|error|status|code|oops|sorry|fehler|erreur|estado|erro)\W*){0,3}\(?(?:4\d\d|5\d\d)\)?(?=\W|$)(?P<rest>.*)$"""
 STATUS_NAMED = r"(?i)^\W*(?:(?:http|error|status|code|oops|sorry|fehler|erreur|estado|erro)\W+){1,3}\(?(?:4\d\d|5\d\d)\)?(?=\W|$)"
@@ -107,12 +115,14 @@ FUNCTION_WORDS = frozenset(
 
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in PLACEHOLDERS.values()))
 _STOCK, _STATUS, _NAMED, _ERROR, _AUX, _SCRIPTS = (re.compile(p) for p in (STOCK, STATUS, STATUS_NAMED, ERROR, ERROR_AUX, SCRIPTS))
+_STOCK_LONG = re.compile(STOCK_LONG)
 _EXPLAINS, _REPORTS = re.compile(EXPLAINS), re.compile(REPORTS)
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`", re.S)
 _QUOTED = re.compile(r"“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|\"[^\"\n]*\"|‹[^›\n]*›")
 _TAG = re.compile(r"</?(?:html|head|body|title|center|h\d|hr|p|div|span|br|noscript|b|i)\b[^<>\n]*>", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+|\n+|\s+[|]\s+")
 _BLOCK = re.compile(r"\n[ \t\r]*\n")
+_ENDED = re.compile(r"[.!?…。！？]\W*$")
 _COMMENT = re.compile(r"^#[ \t]?", re.M)
 _WORD = re.compile(r"\w+")
 #: fixed values: characters that patterns without case take for another than ``str.lower`` gives
@@ -194,7 +204,8 @@ def _pseudo(words: list[str]) -> bool:
 def cell_case(cell: str, whole: bool = False) -> str | None:
     """What is left over in a text cell (``placeholder``, ``dummy``, ``error``, ``scripts``), or None.
 
-    ``whole``: the text isn't a notebook, so it is one block, with menus and the like around a message.
+    ``whole``: the text isn't a notebook, so it is one block, with menus and the like around a message; these don't
+    count against the message.
     """
     prose = _plain(unicodedata.normalize("NFC", cell))
     low = folded(prose)
@@ -207,12 +218,12 @@ def cell_case(cell: str, whole: bool = False) -> str | None:
         words, parts = len(_WORD.findall(block)), {"dummy": 0, "error": 0, "scripts": 0}
         if not words:
             continue
-        status = False
+        status, menu = False, 0
         for sentence in _SENTENCE.split(block):
             own = [w.lower() for w in _WORD.findall(sentence)]
             if not own:
                 continue
-            if _repeats(own) or _pseudo(own) or "lorem ipsum" in sentence.lower()[:20] or (len(own) <= STOCK_WORDS and _STOCK.search(sentence)):
+            if _repeats(own) or _pseudo(own) or "lorem ipsum" in sentence.lower()[:20] or ((len(own) <= STOCK_WORDS or _STOCK_LONG.search(sentence)) and _STOCK.search(sentence)):
                 parts["dummy"] += len(own)
             elif _REPORTS.search(sentence) and not _NAMED.match(sentence):
                 continue
@@ -226,12 +237,14 @@ def cell_case(cell: str, whole: bool = False) -> str | None:
                 status |= len(own) > 1
             elif _AUX.search(sentence):
                 parts["error"] += len(own)
+            elif len(own) <= MENU_WORDS and not _ENDED.search(sentence):
+                menu += len(own)
         if parts["dummy"] >= DENSITY * words:
             return "dummy"
-        short = words <= NOTICE_WORDS
-        if short and parts["scripts"] and (whole or parts["scripts"] + parts["error"] >= DENSITY * words):
+        short, prose_words = whole and words <= NOTICE_WORDS, words - menu if whole else words
+        if parts["scripts"] and (short or parts["scripts"] + parts["error"] >= DENSITY * prose_words):
             return "scripts"
-        if short and status and (whole or parts["error"] >= DENSITY * words):
+        if status and (short or parts["error"] >= DENSITY * prose_words):
             return "error"
     return None
 

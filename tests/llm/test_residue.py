@@ -61,6 +61,31 @@ def test_a_short_cell_alone(kind, cell):
     assert residue.cell_case(cell) == kind
 
 
+MENU = "Home | Products and services | Prices | Contact us | Imprint | Terms of use | Privacy\n" * 6
+LONG_PAGES = {
+    "error": MENU + "404 Not Found\nThe page you requested does not exist.\n" + MENU,
+    "scripts": MENU + "Please enable JavaScript to view this page.\nCookies are required too.\n" + MENU,
+}
+
+
+@pytest.mark.parametrize("kind", LONG_PAGES)
+def test_a_whole_page_with_menus_has_any_length(kind):
+    assert residue.cell_case(LONG_PAGES[kind], whole=True) == kind
+    prose = "The shop opened early that day and sold the last of its baskets before noon, as it had done for years. " * 4
+    assert residue.cell_case(LONG_PAGES[kind] + prose, whole=True) is None
+
+
+def test_a_long_block_of_messages():
+    assert residue.cell_case("The server could not answer. " * 15) == "error"
+    assert residue.cell_case("The server could not answer. " + "The shop sold baskets before noon that day. " * 15) is None
+
+
+def test_long_instructions():
+    assert residue.cell_case("Click here to edit this cell and then describe in your own words what the data shows.") == "dummy"
+    assert residue.cell_case("Replace this text with two or three sentences on where the data came from and who made it.") == "dummy"
+    assert residue.cell_case("Sample text from the shop was read aloud by two people and then typed into the ledger by hand.") is None
+
+
 def written(tree, rng):
     """A text that the parsed pattern matches, positions and looks around aside."""
     out = ""
