@@ -11,7 +11,7 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -106,19 +106,34 @@ def variants(token: str, deletions: int) -> set[str]:
     return found
 
 
-def halves(token: str, shift: int) -> set[str]:
-    """Beginnings and ends of a token's spelling, for words with more edits than the deletions reach.
+def entry_halves(entry: str) -> set[str]:
+    """Beginnings and ends of a list's token that allows more edits than ``DELETIONS`` reach, each within one deletion.
 
-    Of three edits at most one falls into one of the halves, so a beginning or an end is left within one deletion; its
-    length is that of the list's half, give or take ``shift``.
+    Of three edits at most one falls into one of the halves. Two cuts, as an exchange of neighbours may lie across one.
+    Edits of sounds count a quarter more, so that no more than ``DELETIONS`` of them are ever allowed.
     """
-    key = spelling(token)
+    if edits(len(entry)) <= DELETIONS:
+        return set()
+    middle = len(entry) // 2
+    return set().union(*(_ends(entry, size, len(entry) - size) for size in (middle, middle + 1)))
+
+
+def token_halves(token: str) -> set[str]:
+    """All that a token within three edits of a list's token can have in common with its ``entry_halves``."""
+    beginnings, ends = set(), set()
+    for size in range(len(token) - 3, len(token) + 4):
+        if edits(max(0, size)) > DELETIONS:
+            middle = size // 2
+            beginnings |= set(range(middle - 1, middle + 3))
+            ends |= set(range(size - middle - 2, size - middle + 2))
+    return set().union(*(_ends(token, n, 0) for n in beginnings), *(_ends(token, 0, n) for n in ends))
+
+
+def _ends(word: str, beginning: int, end: int) -> set[str]:
     found = set()
-    for size in range(len(key) // 2 - shift, len(key) // 2 + shift + 1):
-        if size >= 4:
-            for tag, part in (("<", key[:size]), (">", key[-size:])):
-                found.add(tag + part)
-                found |= {tag + part[:i] + part[i + 1 :] for i in range(len(part))}
+    for tag, part in (("<", word[:beginning]), (">", word[len(word) - end :])):
+        if part:
+            found |= {tag + part, *(tag + part[:i] + part[i + 1 :] for i in range(len(part)))}
     return found
 
 
@@ -148,11 +163,11 @@ def tokens_of(texts: DataFrame, session_model: tuple, joined: bool = True) -> Da
     return spread(texts).mapInPandas(split, "text string, reading int, token string")
 
 
-def _with_variants(df: DataFrame, column: str) -> DataFrame:
+def _with_variants(df: DataFrame, column: str, halves: Callable[[str], set[str]]) -> DataFrame:
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for low in range(0, len(batch), 500):
-                rows = [(t, v) for t in batch[column].iloc[low : low + 500] for v in (*variants(t, DELETIONS), *(halves(t, 1) if len(t) >= 11 else ()))]
+                rows = [(t, v) for t in batch[column].iloc[low : low + 500] for v in (*variants(t, DELETIONS), *halves(t))]
                 yield pd.DataFrame(rows, columns=[column, "variant"])
 
     return spread(df.select(column).distinct()).mapInPandas(expand, f"{column} string, variant string")
@@ -166,7 +181,7 @@ def repairs(tokens: DataFrame, entry_tokens: DataFrame, least: float = TOKEN_SIM
             batch["similarity"] = [similarity(a, b) for a, b in zip(batch["token"], batch["entry_token"])]
             yield batch[batch["similarity"] >= least]
 
-    pairs = _with_variants(tokens, "token").join(_with_variants(entry_tokens, "entry_token"), "variant").select("token", "entry_token").distinct()
+    pairs = _with_variants(tokens, "token", token_halves).join(_with_variants(entry_tokens, "entry_token", entry_halves), "variant").select("token", "entry_token").distinct()
     close = spread(pairs).mapInPandas(measure, "token string, entry_token string, similarity double")
     return close.unionByName(cut_short(tokens, entry_tokens))
 

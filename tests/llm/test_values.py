@@ -112,6 +112,28 @@ def test_every_name_is_known_by_its_first_half(spark, lists):
     assert {r.text: r.ref_id for r in got.collect()} == want
 
 
+def edited(word, times, rng, letters="ABDEFGIJKLMNOPRSTUVX"):
+    for _ in range(times):
+        i, c = rng.randrange(len(word)), rng.choice(letters)
+        word = rng.choice((word[:i] + word[i + 1 :], word[:i] + c + word[i + 1 :], word[:i] + c + word[i:], word[:i] + word[i + 1 : i + 2] + word[i] + word[i + 2 :]))
+    return word
+
+
+def test_every_similar_pair_is_a_candidate():
+    rng, pairs = random.Random(4), []
+    for _ in range(30000):
+        entry = "".join(rng.choice("ABDEFGIJKLMNOPQRSTUVX") for _ in range(rng.randint(5, 18)))
+        pairs.append((edited(entry.replace("AU", "O"), rng.randint(1, 3), rng), entry))
+    pairs = [(t, e) for t, e in pairs if canonical.similarity(t, e) >= canonical.TOKEN_SIMILARITY]
+    assert sum(len(t) in (9, 10) and len(e) >= 12 for t, e in pairs) > 50
+    assert not [(t, e) for t, e in pairs if not (canonical.variants(t, canonical.DELETIONS) | canonical.token_halves(t)) & (canonical.variants(e, canonical.DELETIONS) | canonical.entry_halves(e))]
+
+
+def test_three_letters_left_out(spark, lists):
+    rows = [("d", t, "DRUGNAME", "E") for t in ("HANDEADIL", "HUNDBADRL")]
+    assert {r.drug_text: r.ref_id for r in canonical.typed_names(cell_rows(spark, rows), lists[0]).collect()} == {"HANDEADIL": 1, "HUNDBADRL": 1}
+
+
 def test_distance():
     assert canonical.distance("abcd", "abdc", 2) == 1 and canonical.distance("abc", "", 2) == 3 and canonical.distance("kitten", "sitting", 5) == 3 and canonical.distance("", "", 0) == 0
     assert canonical.similarity("FLYMREALTOPHENT", "FLYMREALTOFENT") > 0.9
