@@ -138,10 +138,11 @@ def _ends(word: str, beginning: int, end: int) -> set[str]:
 
 
 def tokens_of(texts: DataFrame, session_model: tuple, joined: bool = True) -> DataFrame:
-    """Tokens of each text (``text``, ``reading``, ``token``), of the text as stored and of its likeliest other readings.
+    """Tokens of each text (``text``, ``reading``, ``token``), of the text as stored and of all its other readings.
 
     Two neighbouring tokens also count as one, as blanks and points stand inside words. A text that was decoded
-    wrongly is read as the classifier of ``encoding`` says.
+    wrongly is read in every way that ``encoding.diagnose`` finds, the likeliest first; their number is bounded by the
+    chains. Readings that differ only in accents are one.
     """
     shared = texts.sparkSession.sparkContext.broadcast(session_model)
 
@@ -151,9 +152,9 @@ def tokens_of(texts: DataFrame, session_model: tuple, joined: bool = True) -> Da
             rows = []
             for text in batch["text"]:
                 found = sorted(encoding.diagnose(text, classes, model), key=lambda r: r[2])
-                readings = [text] + [r for c, r, _, _ in found if c != "lost"][:3]
+                readings = dict.fromkeys(plain(r) for r in (text, *(r for c, r, _, _ in found if c != "lost")))
                 for n, reading in enumerate(readings):
-                    parts = _TOKEN.findall(plain(reading))
+                    parts = _TOKEN.findall(reading)
                     words = {p for p in parts if len(p) >= TOKEN_LETTERS and not p.isdigit()}
                     if joined:
                         words |= {a + b for a, b in zip(parts, parts[1:]) if len(a + b) >= 6 and not a.isdigit() and not b.isdigit()}

@@ -112,6 +112,15 @@ def test_every_name_is_known_by_its_first_half(spark, lists):
     assert {r.text: r.ref_id for r in got.collect()} == want
 
 
+def test_all_readings_take_part(spark, lists):
+    model = encoding.train(lists[0], "drug_name")
+    text = encoding.garble("TØAÊÀÉDTÊ", ("cp1250",))
+    readings = [canonical.plain(r[1]) for r in sorted(encoding.diagnose(text, *model), key=lambda r: r[2])]
+    assert len(set(readings)) > 3
+    got = {r.token for r in canonical.tokens_of(spark.createDataFrame([(text,)], "text string"), model, joined=False).collect()}
+    assert got == {w for r in (canonical.plain(text), *readings) for w in canonical._TOKEN.findall(r) if len(w) >= canonical.TOKEN_LETTERS}
+
+
 def edited(word, times, rng, letters="ABDEFGIJKLMNOPRSTUVX"):
     for _ in range(times):
         i, c = rng.randrange(len(word)), rng.choice(letters)
