@@ -147,3 +147,12 @@ def test_registry(tmp_path):
     (tmp_path / "b.json").write_text(json.dumps(content))
     with pytest.raises(errors.InvalidManifest, match="twice"):
         register.Registry(tmp_path)
+
+
+def test_digest_of_all_rows_in_any_order(spark):
+    rows = spark.range(60_000).select(F.col("id").alias("a"), F.when(F.col("id") % 2 == 0, F.lit("x")).alias("b"))
+    last = rows.withColumn("b", F.when(F.col("a") == 59_999, F.lit("y")).otherwise(F.col("b")))
+    found = engine.result_digest(rows, ("a", "b"))
+    assert found == engine.result_digest(rows.orderBy(F.desc("a")), ("a", "b"))
+    assert found != engine.result_digest(last, ("a", "b")) and found != engine.result_digest(rows.unionByName(rows.limit(1)), ("a", "b"))
+    assert engine.result_digest(rows.limit(0), ("a", "b")) == engine.result_digest(last.limit(0), ("a", "b")) != found
