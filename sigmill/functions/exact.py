@@ -1,4 +1,4 @@
-"""Exact and special-function tests that Spark has no expression for, over Arrow batches.
+"""Fisher's exact test, which Spark has no expression for, over Arrow batches.
 
 Fisher's two-sided p is the sum of the probabilities of all tables with the same margins that are no likelier than the
 observed one. Tables are put in one of eight equivalent layouts first, so equal questions get equal answers to the bit.
@@ -9,11 +9,14 @@ number of terms that are added.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sigmill.runtime import cut, lookup
 
 #: Terms that are added at most.
 WORK_TERMS = 100_000
@@ -69,54 +72,103 @@ def _short(tables: np.ndarray) -> np.ndarray:
     return np.where(tail.sum(1) == inside.sum(1), 1.0, np.exp(top[:, 0] + np.log(tail_sum) - np.log(p.sum(1))))
 
 
-def _log_pmf(x: int, r1: int, c1: int, n: int) -> float:
-    comb = lambda m, k: math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1)
-    return comb(c1, x) + comb(n - c1, r1 - x) - comb(n, r1)
-
-
-def _log_sum(start: int, stop: int, anchor: int, r1: int, c1: int, n: int) -> float:
-    """log of the sum of P over start..stop (inclusive), relative to P(anchor), where anchor is start or stop."""
-    x = np.arange(start, stop, dtype=np.float64)
-    logs = np.concatenate([[0.0], np.cumsum(_log_steps(x, float(r1), float(c1), float(n)))])
-    if anchor == stop:
-        logs -= logs[-1]
-    top = logs.max()
-    return float(top + math.log(math.fsum(np.exp(logs - top).tolist())))
+#: Terms that one step of a walk takes at once.
+_BLOCK = 8192
+#: log(n!) less Stirling's formula, for n below 10
+_SMALL_ERRORS = [0.0, *(math.log(math.factorial(n)) - (0.5 * math.log(2 * math.pi * n) + n * math.log(n) - n) for n in range(1, 10))]
+
+
+def _stirling_error(n: float) -> float:
+    """log(n!) less Stirling's formula; its asymptotic series from 10 on."""
+    if n < 10:
+        return _SMALL_ERRORS[int(n)]
+    s = 1.0 / (n * n)
+    return (1 / 12 - s * (1 / 360 - s * (1 / 1260 - s * (1 / 1680 - s / 1188)))) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x without cancellation where both are close."""
+    gap = (x - mean) / (x + mean)
+    if abs(gap) >= 0.1:
+        return x * math.log(x / mean) + mean - x
+    total, power, k = (x - mean) * gap, 2 * x * gap, 1
+    while True:
+        power *= gap * gap
+        k += 2
+        more = total + power / k
+        if more == total:
+            return total
+        total = more
+
+
+def _log_binomial(x: float, n: float, p: float) -> float:
+    """log of the binomial probability in saddle-point form, which keeps its digits for any size of n."""
+    if x == 0 or x == n:
+        return n * (math.log1p(-p) if x == 0 else math.log(p))
+    spread = _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x) - _deviance(x, n * p) - _deviance(n - x, n * (1 - p))
+    return spread - 0.5 * math.log(2 * math.pi * x * (n - x) / n)
+
+
+def _log_probability(x: int, r1: int, c1: int, n: int) -> float:
+    """log of the hypergeometric probability of ``x``, from three binomial ones."""
+    p = r1 / n
+    return _log_binomial(x, c1, p) + _log_binomial(r1 - x, n - c1, p) - _log_binomial(r1, n, p)
+
+
+def _walk(start: int, stop: int, margins: tuple[int, int, int], wanted: Callable[[np.ndarray], np.ndarray], most: int) -> tuple[int, float] | None:
+    """Number and sum of the probabilities from ``start`` towards ``stop`` up to the first whose log isn't ``wanted``.
+
+    Within a block each term follows from the ratio of neighbours; blocks are anchored anew. None if there are more
+    than ``most`` terms.
+    """
+    way, count, total, at = (1 if stop >= start else -1), 0, 0.0, start
+    while (stop - at) * way >= 0:
+        x = at + way * np.arange(min(_BLOCK, abs(stop - at) + 1), dtype=np.float64)
+        ratios = _log_steps(x[:-1], *map(float, margins)) if way > 0 else -_log_steps(x[1:], *map(float, margins))
+        logs = _log_probability(at, *margins) + np.concatenate([[0.0], np.cumsum(ratios)])
+        kept = wanted(logs)
+        size = len(logs) if kept.all() else int(kept.argmin())
+        count, total = count + size, total + float(np.exp(logs[:size]).sum())
+        if count > most:
+            return None
+        if size < len(logs):
+            break
+        at += way * size
+    return count, total
 
 
 def _long(a: int, b: int, c: int, d: int) -> tuple[float | None, str]:
-    r1, c1, n = a + b, a + c, a + b + c + d
-    low, high = max(0, r1 + c1 - n), min(r1, c1)
-    mode = min(max(((r1 + 1) * (c1 + 1)) // (n + 2), low), high)
-    limit = _log_pmf(a, r1, c1, n) + math.log1p(SLACK)
-    if _log_pmf(mode, r1, c1, n) <= limit:
+    """p of a table with a long support, from walks that begin at the observed value and at the far end.
+
+    The probabilities rise from the observed value towards the mode and fall to the far end. Tables that are no likelier
+    lie on both sides: their sum is p if they are not too many. Else p is what the likelier ones between them leave, but
+    only if that is at least one half, as a difference of near numbers has no digits left.
+    """
+    margins = r1, c1, n = a + b, a + c, a + b + c + d
+    ends = max(0, r1 + c1 - n), min(r1, c1)
+    seen = _log_probability(a, *margins)
+    limit = seen + math.log1p(SLACK)
+    ratio = lambda x: float(_log_steps(np.array([float(x)]), *map(float, margins))[0])
+    if a < ends[1] and ratio(a) > 0:
+        near, far, way = *ends, 1
+    elif a > ends[0] and ratio(a - 1) < 0:
+        near, far, way = *ends[::-1], -1
+    else:
+        return 1.0, OK  # the observed table is the likeliest
+    level = _walk(a, far, margins, lambda v: (v >= seen) & (v <= limit), WORK_TERMS)  # counts as equal to the observed
+    if level is None:
+        return None, TOO_LARGE
+    begin = a + way * level[0]
+    if (far - begin) * way < 0 or _log_probability(begin, *margins) <= limit:
         return 1.0, OK
-
-    def likelier(x: int) -> bool:
-        return _log_pmf(x, r1, c1, n) > limit
-
-    first, lo, hi = mode, low, mode  # first likelier value
-    while lo < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (lo, mid) if likelier(mid) else (mid + 1, hi)
-    first, lo, hi = lo, mode, high
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if likelier(mid) else (lo, mid - 1)
-    last = lo
-    left, right, central = first - low, high - last, last - first + 1
-    if left + right <= WORK_TERMS:
-        parts = []
-        if left:
-            parts.append(_log_pmf(first - 1, r1, c1, n) + _log_sum(low, first - 1, first - 1, r1, c1, n))
-        if right:
-            parts.append(_log_pmf(last + 1, r1, c1, n) + _log_sum(last + 1, high, last + 1, r1, c1, n))
-        top = max(parts)
-        return min(1.0, math.exp(top + math.log(sum(math.exp(p - top) for p in parts)))), OK
-    if central <= WORK_TERMS:
-        inner = math.exp(_log_pmf(first, r1, c1, n) + _log_sum(first, last, first, r1, c1, n))
-        if inner <= 0.5:
-            return 1.0 - inner, OK
+    outside = abs(begin - near)
+    beyond = _walk(far, begin, margins, lambda v: v <= limit, WORK_TERMS - outside) if outside <= WORK_TERMS else None
+    if beyond is not None:
+        _, own = _walk(begin - way, near, margins, lambda v: v == v, WORK_TERMS) if outside else (0, 0.0)
+        return min(1.0, own + beyond[1]), OK
+    likelier = _walk(begin, far, margins, lambda v: v > limit, WORK_TERMS)
+    if likelier is not None and likelier[1] <= 0.5:
+        return 1.0 - likelier[1], OK
     return None, TOO_LARGE
 
 
@@ -162,18 +214,10 @@ def fisher_table(tables: DataFrame) -> DataFrame:
 
 
 def with_fisher(cells: DataFrame) -> DataFrame:
-    """``cells`` with the exact test. Cells share few distinct tables, so each table is tested once and joined back."""
-    tested = fisher_table(cells.select(*"abcd").distinct())
-    same = [cells[c].eqNullSafe(tested[c]) for c in "abcd"]
-    return cells.join(tested, same[0] & same[1] & same[2] & same[3], "left").drop(*(tested[c] for c in "abcd"))
-
-
-def chi2_p_table(values: DataFrame, column: str = "chi2") -> DataFrame:
-    """``values`` with ``chi2_p``, the upper tail of the chi-square distribution with one degree of freedom."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def upper_tail(x):
-        return x.map(lambda v: None if v is None or math.isnan(v) else 1.0 if v <= 0 else math.erfc(math.sqrt(v / 2)))
+    """``cells`` with the exact test. Cells share few distinct tables, so each table is tested once and looked up.
 
-    return values.withColumn("chi2_p", upper_tail(column))
+    Cells with a NULL count are not tested (``invalid``).
+    """
+    tested = cut(fisher_table(cells.select(*"abcd").distinct()))
+    found = lookup(cells, tested, list("abcd"))
+    return found.withColumn("fisher_status", F.coalesce("fisher_status", F.lit(INVALID))).select(*cells.columns, "fisher_p", "fisher_status")

@@ -6,6 +6,8 @@ the observed cells.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,42 @@ def yates_chi2() -> Column:
     return F.when(margins > 0, n * lead * lead / margins).otherwise(0.0)
 
 
+#: fixed values: Cody's rational approximations of the complementary error function (numerator, denominator, from the
+#: highest power): below 0.46875 of erf(x) / x in x^2, below 4 of erfc(x) exp(x^2) in x, above that in 1 / x^2
+_ERF_NEAR = (
+    (1.85777706184603153e-1, 3.16112374387056560, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3),
+    (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3),
+)
+_ERFC_MIDDLE = (
+    (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3),
+    (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3),
+)
+_ERFC_FAR = (
+    (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4),
+    (1.0, 2.56852019228982242, 1.87295284992346725, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3),
+)
+
+
+def _polynomial(x: Column, factors: tuple[float, ...]) -> Column:
+    value = F.lit(factors[0])
+    for factor in factors[1:]:
+        value = value * x + factor
+    return value
+
+
+def chi2_upper_tail(chi2: Column) -> Column:
+    """P of a larger chi-square with one degree of freedom, the complementary error function of sqrt(chi2 / 2).
+
+    NULL and NaN give NULL, numbers of 0 and less 1.
+    """
+    square = chi2 / 2
+    x = F.sqrt(square)
+    ratio = lambda at, parts: _polynomial(at, parts[0]) / _polynomial(at, parts[1])
+    inverse = 1 / square
+    far = F.exp(-square) / x * (F.lit(math.pi**-0.5) - inverse * ratio(inverse, _ERFC_FAR))
+    return F.when(chi2.isNotNull() & ~F.isnan(chi2), F.when(chi2 <= 0, 1.0).when(x <= 0.46875, 1 - x * ratio(square, _ERF_NEAR)).when(x <= 4, F.exp(-square) * ratio(x, _ERFC_MIDDLE)).otherwise(far))
+
+
 def screening(prr_column: str = "prr", ror_low: str = "ror_low", chi2: str = "chi2") -> Column:
     """Label of a table by reports, corrected PRR, lower limit of the ROR and observed chi-square."""
     enough = F.col("a") >= SCREEN_REPORTS

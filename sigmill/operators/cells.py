@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigmill.errors import InvalidTable
 from sigmill.functions.stats import EXACT_COUNT
 from sigmill.functions.text import SUSPECT_ROLES
-from sigmill.runtime import bounded, cut
+from sigmill.operators import incidence
+from sigmill.runtime import bounded, lookup
 
 #: fixed values: constant columns of the cell table
 COMPARATOR, EVENT_SCOPE, DEDUPLICATION = "all_other_eligible_reports", "all_recorded_source_pts", "MAX_CASEVERSION_PER_CASEID_THEN_MAX_PRIMARYID"
@@ -61,21 +62,48 @@ def universe(pairs: DataFrame) -> DataFrame:
     return pairs.select("dataset_id", "primaryid").distinct().groupBy("dataset_id").agg(F.count("*").alias("universe_reports"))
 
 
+def _role_counts() -> list[Column]:
+    """Numbers of rows by role, recorded or rolled up, of rows with the roles as ``bits``."""
+    has = lambda bits: F.count_if(F.col("bits").bitwiseAND(F.lit(bits)) != 0)
+    return [*(has(value).alias(role) for role, value in _BITS.items()), has(_SUSPECT).alias("suspect"), F.count("*").alias("all")]
+
+
 def cells(pairs: DataFrame, dataset_id: str | None = None) -> DataFrame:
     """Every seen (drug, source, role, event) of a data set with its reports ``a``, margins, and ``b``, ``c``, ``d``.
 
-    ``pairs`` has ``dataset_id`` or is all of the named data set. ``a`` is counted from unique rows, without a further
-    distinct. Event margins and universes (a row an event, a row a data set) are broadcast if they were counted to be
-    few. Pairs with a NULL key part are no pairs; repeated pairs count once. Empty pairs give no cells.
+    ``pairs`` has ``dataset_id`` or is all of the named data set. Texts are numbered, and the rows are shuffled once, by
+    drug and part (see ``incidence``); there each report's roles are brought together as bits, and pairs and drug margins
+    are counted from that one shuffle. Roles become rows only at the end. Pairs with a NULL key part are no pairs;
+    repeated pairs count once; a role other than the four recorded ones counts in ``all`` only. Empty pairs give no
+    cells.
     """
     if dataset_id is not None:
         pairs = pairs.withColumn("dataset_id", F.lit(dataset_id))
-    known = pairs.where(" and ".join(f"{c} is not null" for c in ("dataset_id", "primaryid", *GROUP, "event_pt")))
-    a = with_rollups(known).groupBy("dataset_id", *GROUP, "event_pt").agg(F.count("*").alias("a"))
-    events, total = cut(event_margins(known)), cut(universe(known))  # small, and read once more to be counted
-    if bounded(events):  # there are no more data sets than (data set, event) rows
-        events, total = F.broadcast(events), F.broadcast(total)
-    full = a.join(drug_margins(known), ["dataset_id", *GROUP]).join(events, ["dataset_id", "event_pt"]).join(total, "dataset_id")
+    drug_key, event_key = ["dataset_id", "drug_text", "drug_text_source"], ["dataset_id", "event_pt"]
+    needed = ("dataset_id", "primaryid", *GROUP, "event_pt")
+    known = pairs.where(" and ".join(f"{c} is not null" for c in needed)).select("dataset_id", F.col("primaryid").alias("report"), *GROUP, "event_pt")
+    drugs, events = incidence.numbered(known, drug_key, "drug"), incidence.numbered(known, event_key, "event").drop("n_rows")
+    few_drugs, few_events = bounded(drugs), bounded(events)
+    seen = lookup(known, events, event_key, few_events).where("event is not null")  # all are: said here, the shuffle below is one for both groupings
+    wide = lookup(seen, drugs, drug_key, few_drugs).where("drug is not null")
+    bit = F.lit(0)
+    for role, value in _BITS.items():
+        bit = F.when(F.col("drug_role") == role, value).otherwise(bit)
+    rest = F.shiftleft(F.col("event").cast("long"), 4).bitwiseOR(bit.cast("long"))
+    placed = wide.select("drug", incidence.part().alias("part"), "report", rest.alias("rest")).repartition("drug", "part")
+    bits = F.bit_or(F.col("rest").bitwiseAND(F.lit(15))).alias("bits")
+    names = [*_BITS, "suspect", "all"]
+    sums = [F.sum(n).alias(n) for n in names]
+    # both groupings read the same columns, so that they share the shuffle
+    a = placed.groupBy("drug", "part", F.shiftright("rest", 4).cast("int").alias("event"), "report").agg(bits).groupBy("drug", "part", "event").agg(*_role_counts()).groupBy("drug", "event").agg(*sums)
+    margins = placed.groupBy("drug", "part", "report").agg(bits).groupBy("drug", "part").agg(*_role_counts()).groupBy("drug").agg(*sums)
+    of_drug = drugs.drop("n_rows").join(margins.select("drug", *(F.col(n).alias(f"of_{n}") for n in names)), "drug")
+    of_event = events.drop("dataset_id").join(seen.select("event", "report").distinct().groupBy("event").agg(F.count("*").alias("event_reports")), "event")
+    # with their margins these have a row an item as before, and a few numbers more in each
+    of_drug, of_event = F.broadcast(of_drug) if few_drugs else of_drug, F.broadcast(of_event) if few_events else of_event
+    joined = a.join(of_drug, "drug").join(of_event, "event").join(universe(pairs.where(" and ".join(f"{c} is not null" for c in needed))), "dataset_id")
+    roles = F.array(*(F.struct(F.lit(n).alias("drug_role"), F.col(n).alias("a"), F.col(f"of_{n}").alias("drug_reports")) for n in names))
+    full = joined.select("dataset_id", "drug_text", "drug_text_source", "event_pt", "event_reports", "universe_reports", F.explode(F.filter(roles, lambda r: r["a"] > 0)).alias("r")).select("*", "r.*")
     full = full.withColumns({"b": F.col("drug_reports") - F.col("a"), "c": F.col("event_reports") - F.col("a")})
     full = full.withColumn("d", F.col("universe_reports") - F.col("a") - F.col("b") - F.col("c"))
     constants = {"comparator": F.lit(COMPARATOR), "event_scope": F.lit(EVENT_SCOPE), "deduplication_policy": F.lit(DEDUPLICATION)}

@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmill.functions.exact import chi2_p_table, fisher_table
+from sigmill.functions.exact import fisher_table
 from sigmill.functions.ids import period, plain_id
-from sigmill.functions.stats import with_statistics
+from sigmill.functions.stats import chi2_upper_tail, with_statistics
 from sigmill.functions.text import normalize_text, role_name, unknown_role
 from sigmill.operators import cases, cells, drift, live, metrics, orphans, pairs, quality, ranking, revalidate
 from sigmill.plans import engine, reports
@@ -123,7 +123,7 @@ def yates_chi2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chi2_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     distinct = with_statistics(reports.given_cells(spark, sf_dir).select(*"abcd").distinct())
-    return _rounded(chi2_p_table(distinct), 9, chi2_p="chi2_p").select(*"abcd", "chi2_p")
+    return _rounded(distinct.withColumn("chi2_p", chi2_upper_tail(F.col("chi2"))), 9, chi2_p="chi2_p").select(*"abcd", "chi2_p")
 
 
 def screening_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:

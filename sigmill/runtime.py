@@ -6,9 +6,12 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Largest number of rows of a side that is broadcast after it was counted.
-BROADCAST_ROWS = 200_000
+#: Largest size of a side that is broadcast after it was measured.
+BROADCAST_BYTES = 32 << 20
+#: Copies of each row of a table that is looked up but too large to be broadcast.
+LOOKUP_PARTS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,14 +25,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     A folder on the driver's disk is no shared folder, so outside local mode the setting is required.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="sigmill-checkpoint-")
-    sc.setCheckpointDir(shared)
+    if not sc.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="sigmill-checkpoint-")
+        sc.setCheckpointDir(shared)
+    _remove_at_exit(spark, sc.getCheckpointDir())
+
+
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """Have the session's own folder of written stages removed when the session's process ends.
+
+    Before that Spark removes the stages that nothing refers to any more, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set when the session starts.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,9 +51,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than it needs to tell."""
-    return df.limit(rows + 1).count() <= rows
+def bounded(df: DataFrame, most: int | None = None) -> bool:
+    """Whether ``df`` may be broadcast: whether its rows, written as text, have at most ``most`` bytes.
+
+    All rows are measured, where they lie; only their number and size come to the driver. ``most`` is
+    ``BROADCAST_BYTES`` unless given.
+    """
+    written = F.octet_length(F.to_json(F.struct("*"))) if df.columns else F.lit(0)
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(written), F.lit(0)).alias("bytes")).first()
+    return row["bytes"] + 16 * row["n"] <= (BROADCAST_BYTES if most is None else most)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for a broadcast if it is ``bounded``; a join then needs no other change."""
+    return F.broadcast(df) if bounded(df) else df
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], fits: bool | None = None, parts: int = LOOKUP_PARTS) -> DataFrame:
+    """``rows`` with the columns of ``table``, whose keys ``on`` are unique; NULL where it lacks the key (or the key is NULL).
+
+    The table is broadcast if it was measured to be small (``fits``, if the caller has measured it). Else each of its rows is copied for ``parts`` parts, over
+    which the rows of a key are spread by their content and map task, so that a key of a third of all rows is no
+    single task's burden.
+    """
+    if bounded(table) if fits is None else fits:
+        return rows.join(F.broadcast(table), on, "left")
+    spread_out = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns) + F.spark_partition_id(), F.lit(parts)).cast("int"))
+    copies = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return spread_out.join(copies, [*on, "_part"], "left").drop("_part")
 
 
 def widened(df: DataFrame) -> DataFrame:

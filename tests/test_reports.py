@@ -1,11 +1,13 @@
+import random
+
 import pytest
 from fixture_tables import CELLS, DEMO_COLUMNS, DRUG_COLUMNS, REAC_COLUMNS, tables
 from pyspark.sql import functions as F
 
-from sigmill import errors
+from sigmill import errors, runtime
 from sigmill.functions.ids import period, plain_id
 from sigmill.functions.text import normalize_text, role_name, spreadsheet_safe, unknown_role
-from sigmill.operators import cases, cells, pairs, quality
+from sigmill.operators import cases, cells, incidence, pairs, quality
 
 
 def demo_rows(spark, rows):
@@ -134,3 +136,26 @@ def test_empty_tables(spark):
     built = pairs.report_pairs(current, drug, reac)
     assert built.count() == 0 and cells.cells(built, "x").count() == 0
     assert [r.missing_percent for r in quality.field_completeness(current).collect()] == [0.0] * 4
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+@pytest.mark.parametrize("rows_per_part", [50, 1 << 20])
+def test_cells_of_hot_keys_against_brute_force(spark, monkeypatch, most, rows_per_part):
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(incidence, "ROWS_PER_PART", rows_per_part)
+    rng = random.Random(2)
+    roles = ["primary_suspect", "secondary_suspect", "concomitant", "interacting", "other"]
+    rows = {(rng.choice("ab"), str(rng.choice([1, rng.randint(1, 80)])), rng.choice(["HOT", "HOT", "x", "y"]), rng.choice(["S", "T"]), rng.choice(roles), rng.choice(["HOT", "HOT", "e", "f"])) for _ in range(1500)}
+    rows |= {("a", None, "x", "S", "other", "e"), ("a", "1", None, "S", "other", "e"), ("a", "1", "x", "S", None, "e"), (None, "1", "x", "S", "other", "e")}
+    pairs = spark.createDataFrame([(*r, "clash", 7) for r in [*rows, *list(rows)[:300]]], "dataset_id string, primaryid string, drug_text string, drug_text_source string, drug_role string, event_pt string, report string, drug int")
+    whole = [r for r in rows if None not in r]
+    held = {(d, p, x, s, q, e) for d, p, x, s, r, e in whole for q in [*([r] if r != "other" else []), *(["suspect"] if r in roles[:2] else []), "all"]}
+    n = lambda found: len(set(found))
+    want = {}
+    for key in {(d, x, s, q, e) for d, _, x, s, q, e in held}:
+        d, x, s, q, e = key
+        a, dr = n(h[1] for h in held if (h[0], *h[2:]) == key), n(h[1] for h in held if (h[0], *h[2:5]) == key[:4])
+        er, total = n(h[1] for h in whole if h[0] == d and h[5] == e), n(h[1] for h in whole if h[0] == d)
+        want[key] = (a, dr - a, er - a, total - dr - er + a, dr, er, total)
+    got = cells.cells(pairs).collect()
+    assert {tuple(r[c] for c in cells.CELL_KEY): tuple(r[c] for c in cells.COUNTS) for r in got} == want and len(got) == len(want)

@@ -6,8 +6,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from sigmill import runtime
 from sigmill.functions import stats
-from sigmill.functions.exact import INVALID, TOO_LARGE, chi2_p_table, fisher_table, fisher_two_sided, with_fisher
+from sigmill.functions.exact import INVALID, TOO_LARGE, _long, canonical, fisher_table, fisher_two_sided, with_fisher
 from sigmill.operators import metrics, ranking, revalidate
 from sigmill.operators.multiplicity import benjamini_hochberg
 
@@ -90,11 +93,35 @@ def test_exact_test_in_spark(spark):
     got = with_fisher(spark.createDataFrame(rows, ABCD)).collect()
     assert sorted((r.fisher_status, r.fisher_p is None) for r in got) == [("invalid", True), ("ok", False), ("ok", False), ("ok", False)]
     assert fisher_table(spark.createDataFrame([], ABCD)).count() == 0
-    tail = chi2_p_table(spark.createDataFrame([(398.43863964466982,), (0.0,), (None,), (35.9042553191,)], "chi2 double")).collect()
+    tail = spark.createDataFrame([(398.43863964466982,), (0.0,), (None,), (35.9042553191,)], "chi2 double").select("chi2", stats.chi2_upper_tail(F.col("chi2")).alias("chi2_p")).collect()
     assert tail[0].chi2_p == pytest.approx(1.2045499525976615e-88, rel=1e-12) and tail[1].chi2_p == 1 and tail[2].chi2_p is None
     assert tail[3].chi2_p == pytest.approx(2.0725557423e-09, rel=1e-8)
 
 
+def test_long_and_short_ways_agree():
+    rng = np.random.default_rng(3)
+    tables = canonical(rng.integers(1, 60, (200, 4)) * rng.integers(1, 40, (200, 1)))
+    short, _ = fisher_two_sided(tables)
+    for t, p in zip(tables.tolist(), short):
+        value, status = _long(*t)
+        assert status == "ok" and value == pytest.approx(p, rel=1e-9, abs=1e-300)
+    assert _long(250_000, 250_000, 250_000, 250_000) == (1.0, "ok") and _long(5000, 0, 0, 5000)[0] < 1e-300
+
+
+def test_chi_square_tail_against_the_error_function(spark):
+    values = [10 ** (e / 10) for e in range(-120, 30)] + [2 * 0.46875**2, 32.0]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", stats.chi2_upper_tail(F.col("x")).alias("p")).collect()
+    assert all(r.p == pytest.approx(math.erfc(math.sqrt(r.x / 2)), rel=1e-12, abs=1e-300) for r in rows)
+
+
+def test_exact_test_of_a_hot_table(spark, monkeypatch):
+    rows = [(1, 9, 11, 3, n) for n in range(400)] + [(n, 2, 3, 4, n) for n in range(400)]
+    cells = spark.createDataFrame(rows, f"{ABCD}, k long")
+    want = sorted(map(tuple, with_fisher(cells).collect()))
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, with_fisher(cells).collect())) == want and len(want) == 800
+
+
 def q_values(spark, ps):
     rows = spark.createDataFrame([("d", "x", "s", "r", f"e{n:03}", p) for n, p in enumerate(ps)], "dataset_id string, drug_text string, drug_text_source string, drug_role string, event_pt string, fisher_p double")
     return [r.fdr_q for r in benjamini_hochberg(rows).orderBy("event_pt").collect()]
