@@ -287,6 +287,11 @@ def p3_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.snapshot(_orphan_state(spark, sf_dir))
 
 
+def p3_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts after every batch."""
+    return orphans.snapshots(_orphan_state(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.changes(table(spark, sf_dir, "feed_lines"), table(spark, sf_dir, "field_names"))
 
@@ -307,6 +312,6 @@ _QUERIES = (
     population_counts, field_completeness, duplicate_components, qa_summary,
     protocol_scan, metrics_long, review_flags, spreadsheet_texts, live_scan, live_scan_drug, result_revalidation,
     csv_scan_roundtrip, parquet_roundtrip, cells_text_roundtrip,
-    p3_found, p3_snapshot, p5_found, p5_demo_table, p5_cells_table,
+    p3_found, p3_snapshot, p3_snapshots, p5_found, p5_demo_table, p5_cells_table,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}

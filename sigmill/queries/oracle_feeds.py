@@ -18,6 +18,20 @@ judged as (
 SQL: dict[str, str] = {
     "p3_found": f"with {_ORPHANS} select table_name, quarter, primaryid, standing as orphan_kind from judged where standing <> 'held'",
     "p3_snapshot": f"with {_ORPHANS} select table_name, quarter, standing, count(*) as n_references from judged group by all",
+    "p3_snapshots": r"""
+with parents as (select ltrim(trim(primaryid), '0') as primaryid, ltrim(trim(caseid), '0') as caseid, left(quarter, 4)::int * 4 + right(quarter, 1)::int - 1 as p from demo_all),
+gone as (select ltrim(trim(caseid), '0') as caseid, min(left(quarter, 4)::int * 4 + right(quarter, 1)::int - 1) as g from deleted_cases group by 1),
+refs as (
+  select distinct 'drug_all' as table_name, left(quarter, 4)::int * 4 + right(quarter, 1)::int - 1 as p, quarter, ltrim(trim(primaryid), '0') as primaryid from drug_all where regexp_full_match(trim(primaryid), '[0-9]+')
+  union all
+  select distinct 'reac_all', left(quarter, 4)::int * 4 + right(quarter, 1)::int - 1, quarter, ltrim(trim(primaryid), '0') from reac_all where regexp_full_match(trim(primaryid), '[0-9]+')
+),
+occur as (select p from parents union select g from gone union select p from refs),
+ends as (select distinct (select min(p) from occur) + (p - (select min(p) from occur)) // 4 * 4 + 3 as e from occur),
+idx as (select e, primaryid, min(p) as first, min(case when g <= e then g end) as gone from ends join parents on p <= e left join gone using (caseid) group by all)
+select (e // 4)::varchar || 'Q' || (e % 4 + 1)::varchar as as_of, table_name, quarter,
+       case when idx.primaryid is null then 'missing' when first > refs.p then 'late' when gone <= refs.p then 'deleted' else 'held' end as standing, count(*) as n_references
+from ends join refs on refs.p <= ends.e left join idx using (e, primaryid) group by all""",
     "p5_found": r"""
 with parts as (
   select feed, feed_kind, file_no, line_no, unnest(string_split(raw_line, case feed_kind when 'demo' then '$' else chr(9) end)) as v,

@@ -1,10 +1,12 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from sigmill import runtime
 from sigmill.operators import drift, orphans
 
 DEMO = [("1", "10", "2022Q1"), ("001", "10", "2022Q3"), ("2", "20", "2022Q3"), ("3", "30", "2021Q1"), (None, "9", "2021Q1"), ("5", "50", None)]
@@ -31,18 +33,54 @@ def test_orphans_of_any_batch_size(spark, periods):
     assert len(got) == 2 * len(BROKEN)
     held = {(r.quarter, r.n_references) for r in orphans.snapshot(state).where("standing = 'held' and table_name = 'drug_all'").collect()}
     assert held == {("2022Q1", 3), ("2022Q3", 1), (None, 1)}
+    assert len(state.settled) <= {1: 6, 4: 3, 100: 1}[periods]  # no batches of quarters that don't occur
 
 
 def test_arrivals_settle_and_withdrawals_reopen(spark):
     demo, child, deleted = frames(spark)
     refs = orphans.references_of(child.where("primaryid in ('3', '4') and quarter = '2022Q2' or primaryid = '4'"), "t")
     nothing = orphans.empty_state(spark)
+    standing = lambda state: {(r.primaryid, r.standing) for r in state.pending.rows.collect()}
+    counted = lambda state: {(r.standing, r.n_references) for r in orphans.snapshot(state).collect()}
     first = orphans.advance(nothing, refs, orphans.parents_of(demo.limit(0)), orphans.withdrawals_of(deleted.limit(0)))
-    assert {r.standing for r in first.references.collect()} == {"missing"}
+    assert standing(first) == {("3", "missing"), ("4", "missing")}
     second = orphans.advance(first, refs.limit(0), orphans.parents_of(demo), orphans.withdrawals_of(deleted.limit(0)))
-    assert {(r.primaryid, r.standing) for r in second.references.collect()} == {("3", "held"), ("4", "missing")}
+    assert standing(second) == {("4", "missing")} and counted(second) == {("held", 1), ("missing", 1)}
     third = orphans.advance(second, refs.limit(0), orphans.parents_of(demo.limit(0)), orphans.withdrawals_of(deleted))
-    assert {(r.primaryid, r.standing) for r in third.references.collect()} == {("3", "deleted"), ("4", "missing")}
+    assert standing(third) == {("3", "deleted"), ("4", "missing")} and counted(third) == {("deleted", 1), ("missing", 1)}
+    # a batch that brings nothing settles and reopens nothing, and the same withdrawal again changes nothing
+    fourth = orphans.advance(third, refs.limit(0), orphans.parents_of(demo.limit(0)), orphans.withdrawals_of(deleted))
+    assert standing(fourth) == standing(third) and counted(fourth) == counted(third)
+    assert [df.count() for df in (fourth.settled[-1].rows, fourth.parents[-1])] == [0, 0]
+    # references brought before are no other references
+    fifth = orphans.advance(fourth, refs, orphans.parents_of(demo.limit(0)), orphans.withdrawals_of(deleted.limit(0)))
+    assert standing(fifth) == standing(third) and counted(fifth) == counted(third)
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_any_order_of_batches_gives_the_plain_result(spark, monkeypatch, most):
+    """Parents, references and withdrawals of random periods in random batches against the definition."""
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", most)
+    rng = random.Random(9)
+    quarter = lambda p: f"{p // 4}Q{p % 4 + 1}"
+    demo = [(str(rng.choice([1, rng.randint(1, 40)])), str(rng.randint(1, 20)), quarter(rng.randint(8080, 8090))) for _ in range(60)]
+    child = [(str(rng.choice([1, rng.randint(1, 60)])), quarter(rng.randint(8080, 8090))) for _ in range(150)]
+    deleted = [(str(rng.randint(1, 20)), quarter(rng.randint(8080, 8090))) for _ in range(6)]
+    state = orphans.empty_state(spark)
+    for k in range(3):
+        pick = lambda rows, k=k: [r for n, r in enumerate(rows) if n % 3 == k or n % 7 == k]
+        parents = orphans.parents_of(spark.createDataFrame(pick(demo), "primaryid string, caseid string, quarter string"))
+        gone = orphans.withdrawals_of(spark.createDataFrame(pick(deleted), "caseid string, quarter string"))
+        state = orphans.advance(state, orphans.references_of(spark.createDataFrame(pick(child), "primaryid string, quarter string"), "t"), parents, gone)
+    want = {}
+    for p, q in set(child):
+        came = [d for d in demo if d[0] == p]
+        lost = [d[1] for d in deleted if d[0] in {x[1] for x in came} and d[1] <= q]
+        want[p, q] = "missing" if not came else "late" if min(d[2] for d in came) > q else "deleted" if lost else "held"
+    got = {(r.primaryid, r.quarter): r.orphan_kind for r in orphans.broken(state).collect()}
+    assert got == {k: v for k, v in want.items() if v != "held"} and {"missing", "late", "deleted"} == set(got.values())
+    counts = {(r.quarter, r.standing): r.n_references for r in orphans.snapshot(state).collect()}
+    assert counts == Counter((q, v) for (_, q), v in want.items())
 
 
 def test_no_references_at_all(spark):
