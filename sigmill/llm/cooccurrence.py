@@ -1,9 +1,8 @@
 """Items that appear together in a report, counted over any number of reports.
 
 Items get dense numbers, so that a pair is one packed 64-bit code. The codes are sorted outside memory (Spark's sort
-spills sorted runs and merges them) and counted by run length as they stream by. A code and its reports may be spread
-over several partitions by the report's hash, so a pair of a third of all rows is no task's burden; the partial counts
-are summed afterwards.
+spills sorted runs and merges them) and counted by run length as they stream by. An item with many rows, such as one with
+a third of all, lies in parts by its reports, as many as its rows ask for; the partial counts are summed afterwards.
 """
 
 from __future__ import annotations
@@ -16,28 +15,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigmill.runtime import bounded, cut
+from sigmill.operators import incidence
+from sigmill.runtime import bounded, lookup
 
-#: Parts over which the reports of one code are spread.
-SPREAD = 16
 #: Least reports of a pair, and least ratio to chance.
 LEAST_REPORTS, LEAST_RATIO = 4, 4
 
 
-def numbered(items: DataFrame) -> DataFrame:
-    """Distinct ``items`` with a dense ``item`` number from 1; only the row counts of the partitions go to the driver."""
-    placed = cut(items.distinct().withColumn("at", F.monotonically_increasing_id()))
-    sizes = {r["part"]: r["count"] for r in placed.groupBy(F.shiftright("at", 33).alias("part")).count().collect()}
-    total, starts = 0, {}
-    for part in sorted(sizes):
-        starts[part], total = total, total + sizes[part]
-    if total >= 1 << 31:
-        raise ValueError("more than 2^31 items; a pair of them does not fit a 64-bit code")
-    lookup = F.create_map(*(F.lit(x) for pair in starts.items() for x in pair)) if starts else F.create_map(F.lit(0), F.lit(0))
-    offset = F.try_element_at(lookup, F.shiftright("at", 33))
-    return placed.withColumn("item", (offset + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).drop("at")
-
-
 def run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct reports of each code in a stream sorted by code and report; the last, open run is carried along."""
     code, report, count = None, None, 0
@@ -64,17 +48,13 @@ def run_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([code], pa.int64()), pa.array([count], pa.int64())], names=["code", "n"])
 
 
-def distinct_reports(coded: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """``code`` and ``n``, the number of its distinct reports, of rows (``code``, ``report``)."""
-    spread_out = coded.repartition(F.col("code"), F.pmod(F.xxhash64("report"), F.lit(spread)))
-    partial = spread_out.sortWithinPartitions("code", "report").mapInArrow(run_lengths, "code long, n long")
-    return partial.groupBy("code").agg(F.sum("n").alias("n"))
-
+def distinct_reports(coded: DataFrame) -> DataFrame:
+    """``code`` and ``n``, the number of its distinct reports, of rows (``code``, ``report``) that lie together by code.
 
-def _joined(rows: DataFrame, items: DataFrame, kind: str, column: str) -> DataFrame:
-    """``rows`` with the item numbers of one kind; the list is broadcast if it was counted to be short."""
-    own = items.where(F.col("kind") == kind).select("dataset_id", F.col("text").alias(column), F.col("item").alias(kind))
-    return rows.join(F.broadcast(own) if bounded(own) else own, ["dataset_id", column], "left")
+    The rows of a code may lie in several partitions if no report does; the partial counts are summed.
+    """
+    partial = coded.sortWithinPartitions("code", "report").mapInArrow(run_lengths, "code long, n long")
+    return partial.groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -84,26 +64,30 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     ``drug_n``, ``event_n``, ``universe``, ``ratio`` (n * universe / (drug_n * event_n)) and ``odds_ratio`` (of the 2x2
     table with 0.5 added to each cell). Texts count as stored. A row with a NULL text is in no pair, but its report
     counts for what the row has; rows with a NULL report or data set don't count; repeated rows count once.
+
+    Rows are shuffled once, as numbers, by drug and part (see ``incidence``): pairs are counted there by sorting their
+    codes, and the reports of each drug from the same shuffle. The reports of events and data sets are few after they
+    are made distinct in the map tasks.
     """
     base = rows.select("dataset_id", F.col("primaryid").alias("report"), "drug_text", "event_pt").where("dataset_id is not null and primaryid is not null")
-    kinds = F.explode(
-        F.array(
-            F.struct(F.lit("drug").alias("kind"), F.col("drug_text").alias("text")),
-            F.struct(F.lit("event").alias("kind"), F.col("event_pt").alias("text")),
-            F.struct(F.lit("all").alias("kind"), F.lit("").alias("text")),
-        )
-    )
-    items = cut(numbered(base.select("dataset_id", kinds.alias("k")).select("dataset_id", "k.*").where("text is not null")))
-    wide = _joined(_joined(_joined(base.withColumn("nothing", F.lit("")), items, "drug", "drug_text"), items, "event", "event_pt"), items, "all", "nothing")
-    high = lambda c: F.shiftleft(F.col(c), 32)
-    coded = cut(distinct_reports(wide.select("report", F.explode(F.array((high("drug") + F.col("event")), high("drug"), high("event"), high("all"))).alias("code")).where("code is not null")))
-    low = F.col("code").bitwiseAND(F.lit((1 << 32) - 1))
-    single = coded.where(low == 0).select(F.shiftright("code", 32).alias("item"), "n").join(items, "item")
-    margin = lambda kind, name, *c: single.where(F.col("kind") == kind).select(*c, F.col("n").alias(name))
-    drugs = margin("drug", "drug_n", F.col("item").alias("drug"), "dataset_id", F.col("text").alias("drug_text"))
-    events = margin("event", "event_n", F.col("item").alias("event"), F.col("text").alias("event_pt"))
-    pairs = coded.where(low != 0).select(F.shiftright("code", 32).alias("drug"), low.alias("event"), "n")
-    joined = pairs.join(drugs, "drug").join(events, "event").join(margin("all", "universe", "dataset_id"), "dataset_id")
+    drug_key, event_key = ["dataset_id", "drug_text"], ["dataset_id", "event_pt"]
+    drugs, events = incidence.numbered(base, drug_key, "drug"), incidence.numbered(base, event_key, "event").drop("n_rows")
+    few_drugs, few_events = bounded(drugs), bounded(events)
+    seen = lookup(base, events, event_key, few_events)
+    wide = lookup(seen, drugs, drug_key, few_drugs).where("drug is not null")
+    code = F.shiftleft(F.col("drug").cast("long"), 32).bitwiseOR(F.coalesce("event", F.lit(0)).cast("long"))  # event 0: none
+    placed = wide.select("drug", incidence.part().alias("part"), "report", code.alias("code")).repartition("drug", "part")
+    coded = distinct_reports(placed.select("code", "report"))
+    # each report's least code is asked for only so that this reads what the pairs read, and shares their shuffle
+    margin = placed.groupBy("drug", "part", "report").agg(F.min("code").alias("least")).where("least > 0").groupBy("drug", "part").agg(F.count("*").alias("n")).groupBy("drug").agg(F.sum("n").alias("drug_n"))
+    of_drug = drugs.drop("n_rows").join(margin, "drug")
+    of_event = events.drop("dataset_id").join(seen.where("event is not null").select("event", "report").distinct().groupBy("event").agg(F.count("*").alias("event_n")), "event")
+    # with their margins these have a row an item as before, and a number more in each
+    of_drug, of_event = F.broadcast(of_drug) if few_drugs else of_drug, F.broadcast(of_event) if few_events else of_event
+    universe = base.select("dataset_id", "report").distinct().groupBy("dataset_id").agg(F.count("*").alias("universe"))
+    event = F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    pairs = coded.select(F.shiftright("code", 32).cast("int").alias("drug"), event.alias("event"), "n").where("event > 0")
+    joined = pairs.join(of_drug, "drug").join(of_event, "event").join(universe, "dataset_id")
     a, b, c = F.col("n"), F.col("drug_n") - F.col("n"), F.col("event_n") - F.col("n")
     d = F.col("universe") - F.col("drug_n") - F.col("event_n") + F.col("n")
     return joined.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sigmill.llm import bpe, canonical, contamination, cooccurrence, encoding, residue, survivor
 from sigmill.runtime import table
@@ -30,6 +31,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence.frequent_pairs(table(spark, sf_dir, "report_pairs")).select("dataset_id", "drug_text", "event_pt")
 
 
+def p6_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs with their counts, ratio to chance and odds ratio."""
+    found = cooccurrence.pair_counts(table(spark, sf_dir, "report_pairs"))
+    return found.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("ratio", "odds_ratio")})
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(table(spark, sf_dir, "documents"))
 
@@ -48,6 +55,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_fused": p4_fused,
     "p6_found": p6_found,
+    "p6_ratios": p6_ratios,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p9_found": p9_found,
