@@ -7,7 +7,6 @@ taken back; a value of which nothing decodes was not garbled.
 
 from __future__ import annotations
 
-import itertools
 import math
 import unicodedata
 from collections.abc import Iterator
@@ -24,8 +23,7 @@ BUCKETS = 4096
 #: Entries of the reference lists that the classifier is trained on at most; the lists have a fixed size.
 TRAINING_ENTRIES = 20_000
 SUBSTITUTE = "�"
-#: Sequences of a value up to which each may be a correct pair of letters that only looks garbled.
-MAYBE_CORRECT = 4
+READING = "field_name string, stored_text string, chain string, restored string, rank int, likely boolean"
 
 #: Chains, by name: the code pages in which UTF-8 bytes were read, first step first. ``latin1`` leaves control characters.
 CHAINS: dict[str, tuple[str, ...]] = {
@@ -113,19 +111,21 @@ def restore(text: str, chain: tuple[str, ...]) -> tuple[str, bool]:
     return text, True
 
 
-def in_part(text: str, chain: tuple[str, ...]) -> Iterator[str]:
-    """``text`` with the chain undone but some sequences of its last step left, as correct letters may look like one.
+def fits(text: str, chain: tuple[str, ...], entry: str) -> bool:
+    """Whether ``entry`` (upper case) is ``text`` with the chain undone in some of its sequences and the others left.
 
-    Of more than ``MAYBE_CORRECT`` sequences none is doubted.
+    Correct letters may look like a garbled one. The text is followed along the entry, each sequence as it is or
+    decoded, so that any number of sequences takes one pass; the earlier steps of the chain are undone in full.
     """
     for page in reversed(chain[1:]):
         text = undo(text, page)[0]
-    parts = sequences(text, chain[0])
-    places = [n for n, (_, decoded) in enumerate(parts) if decoded]
-    if 2 <= len(places) <= MAYBE_CORRECT:
-        for size in range(len(places) - 1, 0, -1):
-            for taken in itertools.combinations(places, size):
-                yield "".join(decoded if n in taken else raw for n, (raw, decoded) in enumerate(parts))
+    at = {0}
+    for raw, decoded in sequences(text, chain[0]):
+        forms = {raw.upper(), *([decoded.upper()] if decoded else [])}
+        at = {p + len(form) for p in at for form in forms if entry.startswith(form, p)}
+        if not at:
+            return False
+    return len(entry) in at
 
 
 def bigram_buckets(text: str) -> np.ndarray:
@@ -195,9 +195,6 @@ def diagnose(text: str, classes: list[str], model: np.ndarray) -> list[tuple[str
         fixed, ok = restore(composed, CHAINS[classes[n]])
         if ok and plausible(fixed) and fixed not in readings:
             readings[fixed] = (classes[n], fixed, rank, bool(scores[n] > clean))
-            for other in in_part(composed, CHAINS[classes[n]]):  # only worth something if it is a listed text
-                if plausible(other):
-                    readings.setdefault(other, (classes[n], other, rank + len(classes), False))
     return list(readings.values())
 
 
@@ -224,7 +221,37 @@ def garbled_values(values: DataFrame, classes: list[str], model: np.ndarray) ->
             yield pd.DataFrame(rows, columns=["field_name", "stored_text", "chain", "restored", "rank", "likely"])
 
     beyond = values.where(F.col("stored_text").rlike(r"[^\x00-\x7F]"))
-    return beyond.mapInPandas(find, "field_name string, stored_text string, chain string, restored string, rank int, likely boolean")
+    return beyond.mapInPandas(find, READING)
+
+
+def partly_garbled(values: DataFrame, readings: DataFrame, entries: DataFrame, classes: list[str], model: np.ndarray) -> DataFrame:
+    """Readings of values that are a listed text with only some of their decodable sequences garbled (see ``fits``).
+
+    ``values`` has ``field_name`` and ``stored_text``, ``readings`` their full readings, ``entries`` ``field_name`` and
+    ``whole``. Values and entries are joined by their letters within ASCII, which no reading changes, and by the first
+    and last letter, stored or restored; the joined pairs are then followed letter by letter.
+    """
+    shared = values.sparkSession.sparkContext.broadcast((classes, model))
+    ascii_part = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]+", "")
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, table = shared.value
+        for batch in batches:
+            rows = []
+            for field, text, whole in zip(batch["field_name"], batch["stored_text"], batch["whole"]):
+                composed = unicodedata.normalize("NFC", text)
+                for chain, _, rank, _ in diagnose(text, names, table):
+                    if chain != "lost" and fits(composed, CHAINS[chain], whole):
+                        rows.append((field, text, chain, whole, rank + len(names), False))
+            yield pd.DataFrame(rows, columns=["field_name", "stored_text", "chain", "restored", "rank", "likely"])
+
+    forms = values.select("field_name", "stored_text", F.upper("stored_text").alias("form")).unionByName(readings.where("chain <> 'lost'").select("field_name", "stored_text", F.upper("restored").alias("form")))
+    ends = lambda c: [F.left(c, F.lit(1)), F.right(c, F.lit(1))]
+    keyed = forms.groupBy("field_name", "stored_text").agg(F.collect_set(ascii_part("form")).alias("keys"), F.collect_set(ends("form")[0]).alias("firsts"), F.collect_set(ends("form")[1]).alias("lasts"))
+    keyed = keyed.withColumn("key", F.explode("keys")).withColumn("first", F.explode("firsts")).withColumn("last", F.explode("lasts"))
+    listed = entries.select("field_name", "whole", ascii_part("whole").alias("key"), ends("whole")[0].alias("first"), ends("whole")[1].alias("last")).where(F.col("whole").rlike(r"[^\x00-\x7F]"))
+    pairs = keyed.join(listed, ["field_name", "key", "first", "last"]).select("field_name", "stored_text", "whole").distinct()
+    return pairs.mapInPandas(follow, READING)
 
 
 def restored_values(cells: DataFrame, drugs: DataFrame, events: DataFrame) -> DataFrame:
@@ -232,7 +259,7 @@ def restored_values(cells: DataFrame, drugs: DataFrame, events: DataFrame) -> Da
 
     A value is diagnosed once, however many datasets hold it, and comes out once for each of them.
 
-    Of a value's readings the likeliest that is a listed text is taken; a value of which no reading is listed is a case
+    Of a value's readings the likeliest that is a listed text is taken, full ones before those that leave some letters; a value of which no reading is listed is a case
     only if the classifier holds a chain likelier than clean text. A value that is itself a listed text is none.
     ``ref_id`` is 0 where characters were lost, and where the restored text is in no list. Rows: ``dataset_id``,
     ``field_name``, ``stored_text``, ``ref_id``, ``chain``, ``restored``. Rows of NULL or ASCII text give nothing,
@@ -251,7 +278,9 @@ def restored_values(cells: DataFrame, drugs: DataFrame, events: DataFrame) -> Da
     )
     values = held.select("field_name", "stored_text").distinct()
     entries = listed.where("entry is not null").groupBy("field_name", F.upper("entry").alias("whole")).agg(F.min("ref_id").alias("listed_id"))
-    readings = garbled_values(values, classes, model).withColumn("whole", F.upper("restored")).join(entries, ["field_name", "whole"], "left")
+    full = cut(garbled_values(values, classes, model))
+    known = full.unionByName(partly_garbled(values, full, entries, classes, model))
+    readings = known.withColumn("whole", F.upper("restored")).join(entries, ["field_name", "whole"], "left")
     best = readings.groupBy("field_name", "stored_text").agg(
         F.min_by(F.struct("chain", "restored", "listed_id", "likely"), F.struct(F.col("listed_id").isNull(), "rank")).alias("best")
     )
