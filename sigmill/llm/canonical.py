@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql.window import Window
 
 from sigmill.functions.ids import present
 from sigmill.llm import encoding
-from sigmill.runtime import cut, spread
+from sigmill.runtime import cut, small, spread
 
 #: Least similarity of a token to the list's token that it is repaired to.
 TOKEN_SIMILARITY = 0.75
@@ -60,38 +61,66 @@ def spelling(token: str) -> str:
     return "".join(c for c, _ in itertools.groupby(token))
 
 
-def distance(a: str, b: str, most: int) -> int:
-    """Edits (insertion, deletion, change, exchange of neighbours) between two words; ``most`` + 1 if there are more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, last = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            value = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                value = min(value, before[j - 2] + 1)
-            row.append(value)
-        if min(row) > most:
-            return most + 1
-        before, last = last, row
-    return last[-1]
+def distances(first: list[str], second: list[str], most: np.ndarray) -> np.ndarray:
+    """Edits (insertion, deletion, change, exchange of neighbours) between the words of each pair; ``most`` + 1 if more.
+
+    All pairs of a slice go through the table of prefixes together, one array operation a cell and kind of edit. Pairs
+    whose lengths differ too much are not compared; slices are of like lengths, so that padding stays small.
+    """
+    sizes = np.array([[len(a), len(b)] for a, b in zip(first, second)], np.int64).reshape(-1, 2)
+    out = np.asarray(most, np.int64) + 1
+    order = np.flatnonzero(np.abs(sizes[:, 0] - sizes[:, 1]) < out)
+    order = order[np.argsort(sizes[order].max(1), kind="stable")]
+    low = 0
+    while low < len(order):
+        width = int(sizes[order[low]].max()) + 8
+        high = low + max(1, min(len(order) - low, (1 << 22) // (width * width)))
+        high = low + max(1, int(np.searchsorted(sizes[order[low:high]].max(1), width, "right")))
+        rows = order[low:high]
+        out[rows] = np.minimum(_table([first[r] for r in rows], [second[r] for r in rows], sizes[rows]), out[rows])
+        low = high
+    return out
+
+
+def _letters(words: list[str], width: int) -> np.ndarray:
+    """The words' characters as numbers, a row a word."""
+    return np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), width)
+
+
+def _table(first: list[str], second: list[str], sizes: np.ndarray) -> np.ndarray:
+    height, width = (int(n) for n in sizes.max(0))
+    a, b = _letters(first, height), _letters(second, width)
+    rows = [np.broadcast_to(np.arange(width + 1)[:, None], (width + 1, len(first)))]
+    found = np.where(sizes[:, 0] == 0, sizes[:, 1], 0)
+    for i in range(1, height + 1):
+        now = np.empty((width + 1, len(first)), np.int64)
+        now[0] = i
+        same = a[:, i - 1, None] == b
+        for j in range(1, width + 1):
+            np.minimum(np.minimum(rows[-1][j], now[j - 1]) + 1, rows[-1][j - 1] + ~same[:, j - 1], out=now[j])
+            if i > 1 and j > 1:
+                swapped = same[:, j - 2] & (a[:, i - 2] == b[:, j - 1])
+                np.minimum(now[j], np.where(swapped, rows[-2][j - 2] + 1, now[j]), out=now[j])
+        ended = sizes[:, 0] == i
+        found[ended] = now[sizes[ended, 1], np.flatnonzero(ended)]
+        rows = [rows[-1], now]
+    return found
 
 
 def edits(length: int) -> int:
     return next(k for least, k in EDITS if length >= least)
 
 
-def similarity(token: str, entry: str) -> float:
-    """1 for equal tokens, less by edits of letters or, slightly worse, of sounds; 0 beyond the edits allowed."""
-    if token == entry:
-        return 1.0
-    most = edits(len(entry))
-    a, b = spelling(token), spelling(entry)
-    d = distance(token, entry, most)
-    heard = distance(a, b, most) + (0.25 if a != token or b != entry else 0)
-    best = min(d, heard)
-    return 0.0 if best > most else 1.0 - best / max(len(entry), len(token))
+def similarities(tokens: list[str], entries: list[str]) -> np.ndarray:
+    """1 for equal tokens, less by edits of letters or, slightly worse, of sounds; 0 beyond the edits allowed. By pair."""
+    most = np.array([edits(len(e)) for e in entries], np.int64)
+    spelt = [(spelling(a), spelling(b)) for a, b in zip(tokens, entries)]
+    changed = np.array([0.25 if x != a or y != b else 0.0 for (x, y), a, b in zip(spelt, tokens, entries)])
+    heard = distances([x for x, _ in spelt], [y for _, y in spelt], most) + changed
+    best = np.minimum(distances(tokens, entries, most), heard)
+    length = np.array([max(len(a), len(b), 1) for a, b in zip(tokens, entries)])
+    equal = np.array([a == b for a, b in zip(tokens, entries)], bool)
+    return np.where(equal, 1.0, np.where(best > most, 0.0, 1.0 - best / length))
 
 
 def variants(token: str, deletions: int) -> set[str]:
@@ -164,6 +193,23 @@ def tokens_of(texts: DataFrame, session_model: tuple, joined: bool = True) -> Da
     return spread(texts).mapInPandas(split, "text string, reading int, token string")
 
 
+def partly_garbled_tokens(texts: DataFrame, forms: DataFrame, model: tuple) -> DataFrame:
+    """Tokens, as of the first reading, of words that are a listed word with only some of their letters garbled."""
+    words = lambda c: F.explode(F.split(c, r"\s+"))
+    held = texts.select("text", words(F.col("text")).alias("stored_text")).where(F.col("stored_text").rlike(r"[^\x00-\x7F]")).distinct()
+    listed = forms.select(F.lit("").alias("field_name"), words(F.upper("form")).alias("whole")).distinct()
+    values = cut(held.select(F.lit("").alias("field_name"), "stored_text").distinct())
+    found = encoding.partly_garbled(values, encoding.garbled_values(values, *model), listed, *model)
+    known = held.join(found.select("stored_text", "restored").distinct(), "stored_text")
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(text, 0, w) for text, word in zip(batch["text"], batch["restored"]) for w in _TOKEN.findall(plain(word)) if len(w) >= TOKEN_LETTERS and not w.isdigit()]
+            yield pd.DataFrame(rows, columns=["text", "reading", "token"])
+
+    return known.select("text", "restored").mapInPandas(split, "text string, reading int, token string")
+
+
 def _with_variants(df: DataFrame, column: str, halves: Callable[[str], set[str]]) -> DataFrame:
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -179,7 +225,7 @@ def repairs(tokens: DataFrame, entry_tokens: DataFrame, least: float = TOKEN_SIM
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["similarity"] = [similarity(a, b) for a, b in zip(batch["token"], batch["entry_token"])]
+            batch["similarity"] = similarities(batch["token"].tolist(), batch["entry_token"].tolist())
             yield batch[batch["similarity"] >= least]
 
     pairs = _with_variants(tokens, "token", token_halves).join(_with_variants(entry_tokens, "entry_token", entry_halves), "variant").select("token", "entry_token").distinct()
@@ -213,11 +259,17 @@ def map_values(texts: DataFrame, entries: DataFrame, model: tuple, least: float
     weights = form_tokens.groupBy("entry_token").agg(F.log(1 + F.lit(float(max(count, 1))) / F.count_distinct("text")).alias("weight"))
     weighed = form_tokens.join(weights, "entry_token").withColumn("total", F.sum("weight").over(Window.partitionBy("ref_id", "text")))
     distinct = texts.select("text").where("text is not null").distinct()
-    typed = cut(tokens_of(distinct, model))
+    typed = cut(tokens_of(distinct, model).unionByName(partly_garbled_tokens(distinct, forms, model)).distinct())
     near = repairs(typed, form_tokens)
-    best = typed.join(near, "token").groupBy("text", "reading", "entry_token").agg(F.max("similarity").alias("similarity"))
+    best = cut(typed.join(near, "token").groupBy("text", "reading", "entry_token").agg(F.max("similarity").alias("similarity")))
+    # a form that is covered has one of its heaviest tokens, those that together weigh more than may be missing
+    ahead = Window.partitionBy("ref_id", "text").orderBy(F.col("weight").desc(), "entry_token").rowsBetween(Window.unboundedPreceding, -1)
+    weighed = cut(weighed.withColumn("ahead", F.coalesce(F.sum("weight").over(ahead), F.lit(0.0))).withColumnRenamed("text", "form"))
+    prefix = weighed.where(F.col("ahead") <= F.col("total") * (1 - least + ROUNDING))
+    candidates = best.join(small(prefix.select("ref_id", "form", "entry_token")), "entry_token").select("text", "reading", "ref_id", "form").distinct()
     scores = (
-        best.join(weighed.withColumnRenamed("text", "form"), "entry_token")
+        candidates.join(small(weighed.drop("ahead")), ["ref_id", "form"])
+        .join(best, ["text", "reading", "entry_token"])
         .groupBy("text", "reading", "ref_id", "form")
         .agg(F.sum(F.col("weight") * F.col("similarity")).alias("mass"), F.max("total").alias("total"))
         .withColumn("coverage", F.col("mass") / F.col("total"))

@@ -33,11 +33,23 @@ def test_partly_garbled_text_is_restored_in_part():
 
 def test_correct_letters_beside_garbled_ones_may_stay(lists):
     assert encoding.restore("QUARVÃ‹ÄŠIVAST", ("cp1252",)) == ("QUARVËĊIVAST", True)
-    assert "QUARVËÄŠIVAST" in encoding.in_part("QUARVÃ‹ÄŠIVAST", ("cp1252",))
+    assert encoding.fits("QUARVÃ‹ÄŠIVAST", ("cp1252",), "QUARVËÄŠIVAST") and encoding.fits("quarvÃ‹ÄŠivast", ("cp1252",), "QUARVËĊIVAST")
+    assert not encoding.fits("QUARVÃ‹ÄŠIVAST", ("cp1252",), "QUARVËÄIVAST") and not encoding.fits("QUARVÃ‹ÄŠIVAST", ("cp1252",), "QUARVËÄŠIVASTX")
+
+
+def test_any_number_of_letters_may_be_correct(spark, lists):
+    """Twelve sequences of which every second one only looks garbled."""
+    name = "ÄŠXËÄŠYÉÄŠZÈÄŠUÊÄŠVÂÄŠWÎ"
+    stored = "".join(c if c in "ÄŠXYZUVW" else encoding.garble(c, ("cp1252",)) for c in name)
+    drugs = spark.createDataFrame([*DRUGS, (77, name, None)], DRUG_COLUMNS)
+    got = encoding.restored_values(cell_rows(spark, [("d", stored, "PROD_AI", "RASH")]), drugs, lists[1]).collect()
+    assert [(r.stored_text, r.ref_id, r.restored) for r in got] == [(stored, 77, name)]
+    typed = canonical.typed_names(cell_rows(spark, [("d", f"{stored} 10 MG", "DRUGNAME", "RASH")]), drugs).collect()
+    assert [r.ref_id for r in typed] == [77]
 
 
 def test_held_out_chains(lists, spark):
-    """Of held-out words garbled in the common ways, the first listed reading is the word itself."""
+    """Of held-out words garbled in the common ways, the classifier's first reading is the word itself; clean words are in order."""
     drugs, events = lists
     model = encoding.train(drugs.selectExpr("drug_name as e").unionByName(events.selectExpr("event_pt as e")), "e")
     right = total = 0
@@ -45,9 +57,9 @@ def test_held_out_chains(lists, spark):
         for name in ("cp1252", "latin1", "cp1250", "mac_roman", "cp850", "cp1252 twice"):
             readings = encoding.diagnose(encoding.garble(text, encoding.CHAINS[name]), *model)
             total += 1
-            right += any(r[1] == text for r in readings)
+            right += min(readings, key=lambda r: r[2])[1] == text
         assert not [r for r in encoding.diagnose(text, *model) if r[3]]
-    assert right >= 0.95 * total
+    assert right >= 0.9 * total
 
 
 def test_restored_values(spark, lists):
@@ -114,7 +126,7 @@ def test_every_name_is_known_by_its_first_half(spark, lists):
 
 def test_all_readings_take_part(spark, lists):
     model = encoding.train(lists[0], "drug_name")
-    text = encoding.garble("TØAÊÀÉDTÊ", ("cp1250",))
+    text = encoding.garble("ĚÜŠÉÇ", ("cp1252",))
     readings = [canonical.plain(r[1]) for r in sorted(encoding.diagnose(text, *model), key=lambda r: r[2])]
     assert len(set(readings)) > 3
     got = {r.token for r in canonical.tokens_of(spark.createDataFrame([(text,)], "text string"), model, joined=False).collect()}
@@ -133,7 +145,8 @@ def test_every_similar_pair_is_a_candidate():
     for _ in range(30000):
         entry = "".join(rng.choice("ABDEFGIJKLMNOPQRSTUVX") for _ in range(rng.randint(5, 18)))
         pairs.append((edited(entry.replace("AU", "O"), rng.randint(1, 3), rng), entry))
-    pairs = [(t, e) for t, e in pairs if canonical.similarity(t, e) >= canonical.TOKEN_SIMILARITY]
+    close = canonical.similarities(*map(list, zip(*pairs)))
+    pairs = [(t, e) for (t, e), s in zip(pairs, close) if s >= canonical.TOKEN_SIMILARITY]
     assert sum(len(t) in (9, 10) and len(e) >= 12 for t, e in pairs) > 50
     assert not [(t, e) for t, e in pairs if not (canonical.variants(t, canonical.DELETIONS) | canonical.token_halves(t)) & (canonical.variants(e, canonical.DELETIONS) | canonical.entry_halves(e))]
 
@@ -143,6 +156,22 @@ def test_three_letters_left_out(spark, lists):
     assert {r.drug_text: r.ref_id for r in canonical.typed_names(cell_rows(spark, rows), lists[0]).collect()} == {"HANDEADIL": 1, "HUNDBADRL": 1}
 
 
-def test_distance():
-    assert canonical.distance("abcd", "abdc", 2) == 1 and canonical.distance("abc", "", 2) == 3 and canonical.distance("kitten", "sitting", 5) == 3 and canonical.distance("", "", 0) == 0
-    assert canonical.similarity("FLYMREALTOPHENT", "FLYMREALTOFENT") > 0.9
+def osa(a, b):
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_distances():
+    rng = random.Random(5)
+    pairs = [("abcd", "abdc"), ("abc", ""), ("kitten", "sitting"), ("", ""), ("a" * 5000, "b"), ("x😀y", "xy")]
+    pairs += [("".join(rng.choice("ABC") for _ in range(rng.randint(0, 9))), "".join(rng.choice("ABC") for _ in range(rng.randint(0, 30)))) for _ in range(500)]
+    most = [rng.randint(0, 5) for _ in pairs]
+    want = [min(osa(a, b), m + 1) if len(a) < 1000 else m + 1 for (a, b), m in zip(pairs, most)]
+    assert canonical.distances(*map(list, zip(*pairs)), most).tolist() == want
+    assert canonical.distances([], [], []).tolist() == []
+    assert canonical.similarities(["FLYMREALTOPHENT", "ABC"], ["FLYMREALTOFENT", "ABC"]).tolist() == [pytest.approx(1 - 0.25 / 15), 1.0]
