@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigmill.runtime import cut, lookup
+from sigmill.runtime import cut, lookup, spread
 
 #: Terms that are added at most.
 WORK_TERMS = 100_000
@@ -218,6 +218,6 @@ def with_fisher(cells: DataFrame) -> DataFrame:
 
     Cells with a NULL count are not tested (``invalid``).
     """
-    tested = cut(fisher_table(cells.select(*"abcd").distinct()))
+    tested = cut(fisher_table(spread(cells.select(*"abcd").distinct())))
     found = lookup(cells, tested, list("abcd"))
     return found.withColumn("fisher_status", F.coalesce("fisher_status", F.lit(INVALID))).select(*cells.columns, "fisher_p", "fisher_status")

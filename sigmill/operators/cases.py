@@ -32,11 +32,13 @@ def require_ids(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 
 def received_once(demo: DataFrame) -> DataFrame:
-    """One row for each primaryid of usable rows: of reports received again the last delivery (then by content)."""
-    columns = [c for c in demo.columns if c != "primaryid"]
-    order = F.struct(F.coalesce("quarter", F.lit("")).alias("q"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"k{n}") for n, c in enumerate(columns)))
-    latest = usable(demo, DEMO_REQUIRED).groupBy("primaryid").agg(F.max_by(F.struct(*columns), order).alias("row"))
-    return latest.select("primaryid", "row.*").select(*demo.columns)
+    """One row for each primaryid of usable rows: of reports received again the last delivery (then by content).
+
+    The rank filter is applied within the map tasks first, so a report of any number of rows sends one row a task.
+    """
+    others = [F.coalesce(F.col(c).cast("string"), F.lit("")).desc() for c in ("quarter", *(c for c in demo.columns if c not in ("primaryid", "quarter"))) if c in demo.columns]
+    order = Window.partitionBy("primaryid").orderBy(*others)
+    return usable(demo, DEMO_REQUIRED).withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 
 
 def latest_versions(demo: DataFrame) -> DataFrame:

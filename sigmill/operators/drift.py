@@ -36,8 +36,8 @@ def branch(value: Column) -> Column:
 
 
 def _parts(lines: DataFrame) -> Column:
-    """The line's parts; NULL for a kind without a known separator."""
-    found = F.lit(None).cast("array<string>")
+    """The line's parts; a line of a kind without a known separator is an error, as it can't be read."""
+    found = F.raise_error(F.concat(F.lit("no separator is known for feeds of the kind "), F.coalesce("feed_kind", F.lit("NULL")))).cast("array<string>")
     for kind, separator in SEPARATORS.items():
         found = F.when(F.col("feed_kind") == kind, F.split("raw_line", separator, -1)).otherwise(found)
     return found
@@ -104,12 +104,47 @@ def changes(lines: DataFrame, names: DataFrame) -> DataFrame:
     return seen.select("feed", F.col("field").alias("field_name"), F.explode(F.filter(found, lambda x: x.isNotNull())).alias("change")).select("feed", "change.file_no", "field_name", "change.change_kind").distinct()
 
 
+def alternatives(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """``feed``, ``file_no``, ``field_name``, ``branch``, ``n_values``: type branches that appear in a field for the first time.
+
+    A branch appears in a file if no earlier file of the feed has a value of it in the field but one has values of
+    other branches; several files may be between. Lines with a NULL feed or file number are no lines.
+    """
+    lines = lines.where("feed is not null and file_no is not null")
+    counted = branches(lines, headers(lines, names))
+    listed = F.explode(F.array(*(F.struct(F.lit(b).alias("branch"), F.coalesce(b, F.lit(0)).alias("n_values")) for b in BRANCHES)))
+    held = counted.select("feed", "field", "file_no", listed.alias("b")).select("feed", "field", "file_no", "b.*").where("n_values > 0")
+    begun = held.groupBy("feed", "field").agg(F.min("file_no").alias("begun"))
+    first = held.groupBy("feed", "field", "branch").agg(F.min(F.struct("file_no", "n_values")).alias("first"))
+    return first.join(begun, ["feed", "field"]).where("first.file_no > begun").select("feed", "first.file_no", F.col("field").alias("field_name"), "branch", "first.n_values")
+
+
+def values(lines: DataFrame, names: DataFrame, kind: str) -> DataFrame:
+    """The filled values of ``unified`` as rows: ``feed``, ``file_no``, ``line_no``, ``field_name``, ``value``."""
+    whole = unified(lines, names, kind)
+    listed = [c for c in whole.columns if f"{c}_number" in whole.columns]
+    pairs = F.map_concat(F.map_from_arrays(F.array(*(F.lit(c) for c in listed)), F.array(*(F.col(c) for c in listed))), "other")
+    long = whole.select("feed", "file_no", "line_no", F.explode(pairs).alias("field_name", "value"))
+    return long.where("value is not null and value not in ('', 'NA')")
+
+
+#: fixed values: spellings of a drug text's source, as letters in upper case; other codes can't be told
+SOURCES = {"PRODAI": "PROD_AI", "AI": "PROD_AI", "DRUGNAME": "DRUGNAME", "DN": "DRUGNAME"}
+
+
+def canonical_source(value: Column) -> Column:
+    """``PROD_AI`` or ``DRUGNAME`` for a known spelling of a drug text's source, else NULL."""
+    names = F.create_map(*(F.lit(x) for pair in SOURCES.items() for x in pair))
+    return F.try_element_at(names, F.upper(F.regexp_replace(value, "[^A-Za-z]+", "")))
+
+
 def unified(lines: DataFrame, names: DataFrame, kind: str) -> DataFrame:
     """All files of one kind as one table: a column for each listed field of the kind, the rest in the map ``other``.
 
     Values are trimmed, missing ones NULL. A field whose values conflict keeps them as text; beside it stand the typed
-    branches ``<field>_number`` and ``<field>_date``, and for ``quarter`` the canonical form ``quarter_period``
-    (``2024Q1``). The key is ``feed``, ``file_no``, ``line_no``; repeated lines stay.
+    branches ``<field>_number`` and ``<field>_date``, and canonical forms: for ``quarter`` ``quarter_period``
+    (``2024Q1``), for ``drug_text_source`` ``drug_text_source_code`` (see ``canonical_source``). The
+    key is ``feed``, ``file_no``, ``line_no``; repeated lines stay.
     """
     own = lines.where((F.col("feed_kind") == kind) & F.col("feed").isNotNull() & F.col("file_no").isNotNull())
     columns = headers(own, names).groupBy("feed", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", "pos"))).alias("places"))
@@ -123,6 +158,8 @@ def unified(lines: DataFrame, names: DataFrame, kind: str) -> DataFrame:
         if field == "quarter":
             number = period(value)
             out.append(F.concat((number / 4).cast("int").cast("string"), F.lit("Q"), (number % 4 + 1).cast("string")).alias("quarter_period"))
+        if field == "drug_text_source":
+            out.append(canonical_source(value).alias("drug_text_source_code"))
         out.append(F.when(branch(value).isin("integer", "decimal"), value.cast("double")).alias(f"{field}_number"))
         out.append(F.when(branch(value) == "date", F.try_to_date(value)).alias(f"{field}_date"))
     other = F.map_filter("places", lambda k, _: ~k.isin(fields))

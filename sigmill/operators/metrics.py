@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import decimal
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sigmill.functions.stats import ZERO_CELL
 from sigmill.functions.text import spreadsheet_safe
@@ -48,6 +54,62 @@ def review_flags(results: DataFrame, profile: str = "evans_educational") -> Data
     return results.withColumns({"profile_id": F.lit(profile), "flag": F.col("outcome"), "reason": reason})
 
 
+def shortest(number: Column) -> Column:
+    """Shortest text that reads back as the same number, in the form of ``%g``: with an exponent below 1e-4 and from 1e6 on."""
+    return F.when(F.isnan(number), "NaN").when(number.isNotNull(), _shortest_texts(number))
+
+
+@F.pandas_udf(T.StringType())
+def _shortest_texts(values: pd.Series) -> pd.Series:
+    return pd.Series([None if x != x else _shortest(x) for x in values.tolist()], dtype=object)
+
+
+def _shortest(x: float) -> str:
+    if not math.isfinite(x) or x == 0:
+        return "0" if x == 0 else "+Inf" if x > 0 else "-Inf"
+    sign, digits, last = decimal.Decimal(repr(float(x))).normalize().as_tuple()
+    text, power = "".join(map(str, digits)), len(digits) + last - 1
+    if power < -4 or power >= 6:
+        body = text[0] + ("." + text[1:] if len(text) > 1 else "") + f"e{'-' if power < 0 else '+'}{abs(power):02d}"
+    elif power < 0:
+        body = "0." + "0" * (-power - 1) + text
+    else:
+        body = text[: power + 1].ljust(power + 1, "0") + ("." + text[power + 1 :] if len(text) > power + 1 else "")
+    return "-" * sign + body
+
+
+#: fixed values: columns of an export
+EXPORT = (
+    "analysis_id result_digest result_family_id result_row_count result_row_number drug_concept_id event_concept_id event_term event_category a b c d n "
+    "method measure estimate lower_95 upper_95 p_value q_value input_cells zero_cell_correction_applied zero_cell_correction_method added_to_each_cell"
+).split()
+
+
+def export_rows(results: DataFrame, analysis_id: str, digest: str, family: str, drug_concept: str, event_concept: str, category: str) -> DataFrame:
+    """A result as the 25 text columns of an export, a row for each metric, safe to open in a spreadsheet.
+
+    ``results`` has the event, the cells and ``metrics``. Rows are numbered in canonical order by event; a result is
+    bounded, so its numbers come from one sort. Missing numbers are empty texts.
+    """
+    count = results.count()
+    numbered = results.withColumn("result_row_number", F.row_number().over(Window.orderBy("event_pt")))
+    named = {
+        "analysis_id": F.lit(analysis_id), "result_digest": F.lit(digest), "result_family_id": F.lit(family), "result_row_count": F.lit(count),
+        "drug_concept_id": F.lit(drug_concept), "event_concept_id": F.concat(F.lit(f"{event_concept}:"), "event_pt"), "event_term": F.col("event_pt"),
+        "event_category": F.lit(category), "n": F.col("a") + F.col("b") + F.col("c") + F.col("d"),
+    }
+    kept = [*named, "result_row_number", "a", "b", "c", "d"]
+    long = metrics_long(numbered.withColumns(named), tuple(kept)).withColumnsRenamed({"correction_applied": "zero_cell_correction_applied", "correction_method": "zero_cell_correction_method"})
+    numbers = ("estimate", "lower_95", "upper_95", "p_value", "q_value", "added_to_each_cell")
+    texts = {c: F.coalesce(shortest(F.col(c)), F.lit("")) for c in numbers} | {c: F.col(c).cast("string") for c in EXPORT if c not in numbers}
+    return spreadsheet_rows(long.withColumns({c: v for c, v in texts.items() if c not in numbers})).withColumns({c: texts[c] for c in numbers}).select(*EXPORT)
+
+
+def write_export(rows: DataFrame, path: str) -> None:
+    """An export as quoted CSV with a header; refuses to overwrite."""
+    rows.write.mode("errorifexists").options(header=True, quote='"', escape='"', lineSep="\n", emptyValue="").csv(path)
+
+
 def spreadsheet_rows(long: DataFrame) -> DataFrame:
     """``long`` with every text column safe to open in a spreadsheet."""
     texts = [c for c, kind in long.dtypes if kind == "string"]

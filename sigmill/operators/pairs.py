@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sigmill.errors import JoinBudgetExceeded, UnsupportedRole
 from sigmill.functions.ids import present
 from sigmill.functions.text import drug_text, drug_text_source, normalize_text, role_name, unknown_role
 from sigmill.operators.cases import usable
+from sigmill.runtime import cut
 
 #: fixed values: pairs that one report may yield; category of every event
 PAIRS_PER_REPORT = 10_000
@@ -53,6 +55,22 @@ def require_join_budget(drugs: DataFrame, events: DataFrame, limit: int = PAIRS_
     return {k: row[k] or 0 for k in ("largest", "total", "joinable")}
 
 
+def build_guards(current: DataFrame, drug: DataFrame, reac: DataFrame, limit: int = PAIRS_PER_REPORT) -> DataFrame:
+    """One row of what a build is refused for, and of its load: ``max_pairs``, ``heaviest_report`` (the largest id of
+    several, as text), ``joinable_reports``, ``over_budget`` (reports over the limit), ``unknown_roles`` (rows)."""
+    load = join_load(drug_components(drug, current), event_components(reac, current))
+    heaviest = F.max_by("primaryid", F.struct("pairs", "primaryid")).alias("heaviest_report")
+    row = load.agg(F.coalesce(F.max("pairs"), F.lit(0)).alias("max_pairs"), heaviest, F.count("*").alias("joinable_reports"), F.count_if(F.col("pairs") > limit).alias("over_budget"))
+    own = usable(drug, ("primaryid",)).join(current.select("primaryid"), "primaryid", "left_semi")
+    return row.crossJoin(own.agg(F.count_if(unknown_role(F.col("role_cod"))).alias("unknown_roles")))  # one row each
+
+
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    """The pairs in canonical order (report as text, drug, role, event), with their ``place`` within the report."""
+    order = ("drug_text", "drug_role", "event_pt", "drug_text_source")
+    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("primaryid").orderBy(*order))).orderBy("primaryid", *order)
+
+
 def report_pairs(current: DataFrame, drug: DataFrame, reac: DataFrame, limit: int | None = PAIRS_PER_REPORT) -> DataFrame:
     """Unique (primaryid, drug_text, drug_text_source, drug_role, event_pt) of the current reports with their demographics.
 
@@ -64,6 +82,7 @@ def report_pairs(current: DataFrame, drug: DataFrame, reac: DataFrame, limit: in
     drugs, events = drug_components(drug, current).distinct(), event_components(reac, current).distinct()
     if limit is not None:
         require_known_roles(drug, current)
+        drugs, events = cut(drugs), cut(events)  # counted first, joined then
         require_join_budget(drugs, events, limit)
     known = [c for c in DEMOGRAPHICS if c in current.columns]
     facts = current.select("primaryid", "caseid", "quarter", *(present(F.col(c)).alias(c) for c in known))

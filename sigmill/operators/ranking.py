@@ -10,26 +10,60 @@ from pyspark.sql.window import Window
 PAGE_ROWS, FOREST_ROWS, SCAN_EVENTS, REQUEST_EVENTS = 50, 30, 25, 30
 
 
-def prr_order() -> list[Column]:
-    """PRR downwards, missing ones last, then by term."""
+def _down(column: Column, turned: bool) -> Column:
+    return column.asc_nulls_first() if turned else column.desc_nulls_last()
+
+
+def _up(column: Column, turned: bool) -> Column:
+    return column.desc_nulls_last() if turned else column.asc_nulls_first()
+
+
+def prr_order(turned: bool = False) -> list[Column]:
+    """PRR downwards, missing ones last, then by term. ``turned`` is the opposite order, here and in the others."""
     usable = F.when(F.col("prr").isNotNull() & ~F.isnan("prr"), F.col("prr"))
-    return [usable.desc_nulls_last(), F.col("event_pt").asc()]
+    return [_down(usable, turned), _up(F.col("event_pt"), turned)]
+
+
+def count_order(turned: bool = False) -> list[Column]:
+    """Reports downwards, then by term."""
+    return [_down(F.col("a"), turned), _up(F.col("event_pt"), turned)]
+
+
+def name_order(turned: bool = False) -> list[Column]:
+    """By term, then by source."""
+    return [_up(F.col("event_pt"), turned)]
+
+
+#: Orders of results by name.
+ORDERS = {"prr": prr_order, "count": count_order, "name": name_order}
 
 
-def page(results: DataFrame, number: int, partition: tuple[str, ...] = (), rows: int = PAGE_ROWS) -> DataFrame:
-    """Page ``number`` (from 1; beyond the last page the last one) of the rows by PRR, with their ``place``.
+def page(results: DataFrame, number: int, partition: tuple[str, ...] = (), rows: int = PAGE_ROWS, order: str = "prr", outcome: str | None = None) -> DataFrame:
+    """Page ``number`` (from 1; beyond the last page the last one) of the rows in an order of ``ORDERS``, with their ``place``.
 
-    With ``partition`` each group is paged by itself.
+    With ``partition`` each group is paged by itself; with ``outcome`` only rows of that label are shown. Ranks have a
+    known bound, so that a map task keeps no more rows of a group than the page can need; a group that ends before the
+    page is ranked from its end. Without groups the page is a top-k.
     """
-    group = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
-    placed = results.withColumns({"place": F.row_number().over(group.orderBy(*prr_order())), "_rows": F.count("*").over(group)})
-    last = F.greatest(F.ceil(F.col("_rows") / rows), F.lit(1))
-    at = F.least(F.lit(max(1, number)), last)
-    return placed.where((F.col("place") > (at - 1) * rows) & (F.col("place") <= at * rows)).drop("_rows")
+    shown, number = results if outcome is None else results.where(F.col("outcome") == outcome), max(1, number)
+    sort = ORDERS[order]
+    if not partition:
+        at = min(number, max(1, -(-shown.count() // rows)))
+        first = shown.orderBy(*sort()).limit(at * rows)
+        return first.withColumn("place", F.row_number().over(Window.orderBy(*sort()))).where(F.col("place") > (at - 1) * rows)
+    group, before = Window.partitionBy(*partition), (number - 1) * rows
+    placed = shown.withColumn("place", F.row_number().over(group.orderBy(*sort()))).where(F.col("place") <= number * rows).where(F.col("place") > before)
+    if number == 1:
+        return placed
+    short = shown.groupBy(*(F.col(p).alias(f"_{p}") for p in partition)).agg(F.count("*").alias("_rows")).where(F.col("_rows") <= before)
+    same = [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in partition]
+    last = shown.withColumn("place", F.row_number().over(group.orderBy(*sort(True)))).where(F.col("place") <= rows)
+    last = last.join(short, same).withColumn("place", F.col("_rows").cast("int") - F.col("place") + 1).where(F.col("place") > (F.ceil(F.col("_rows") / rows) - 1) * rows)
+    return placed.unionByName(last.select(*placed.columns))
 
 
 def forest_points(page_rows: DataFrame, partition: tuple[str, ...] = (), most: int = FOREST_ROWS) -> DataFrame:
-    """The page's rows with ``plot``: ``shown`` (the first ``most`` that can be drawn on a log axis), ``deferred``
+    """The rows of a page (few in each group, or few in all) with ``plot``: ``shown`` (the first ``most`` that can be drawn on a log axis), ``deferred``
     (drawable but beyond) or ``unplottable``."""
     ok = F.lit(True)
     for c in ("prr", "prr_low", "prr_high"):

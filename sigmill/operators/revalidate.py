@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sigmill.functions.stats import near
 
@@ -36,8 +35,23 @@ def mismatches(stored: DataFrame, computed: DataFrame, key: tuple[str, ...]) ->
 
 
 def out_of_order(results: DataFrame, number: str, first: str = "event_pt", second: str = "drug_text") -> DataFrame:
-    """Rows that don't come strictly after the row before them in the stored order ``number``."""
-    along = Window.orderBy(number)
-    before = F.struct(F.lag(first).over(along).alias("x"), F.lag(second).over(along).alias("y"))
+    """Rows that don't come strictly after the row before them, by their stored number (1, 2, ...).
+
+    Each row meets the one with the number before its own in an equality join. A row other than number 1 without one
+    before it is out of order too.
+    """
+    before = results.select((F.col(number) + 1).alias("_number"), F.struct(F.col(first).alias("x"), F.col(second).alias("y")).alias("_before"))
     now = F.struct(F.col(first).alias("x"), F.col(second).alias("y"))
-    return results.withColumn("_after", (before["x"].isNull()) | (before < now)).where("not _after").drop("_after")
+    met = results.join(before, F.col(number) == F.col("_number"), "left")
+    wrong = F.when(F.col("_before").isNull(), F.col(number) != 1).otherwise(F.col("_before") >= now)
+    return met.where(wrong).select(*results.columns).distinct()
+
+
+def text_checks(cells: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """By data set: rows, rows with a text that isn't valid UTF-8, and rows that repeat a key."""
+    texts = [c for c, kind in cells.dtypes if kind == "string"]
+    invalid = F.lit(False)
+    for c in texts:
+        invalid = invalid | ~F.coalesce(F.is_valid_utf8(F.col(c)), F.lit(True))
+    keyed = cells.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(invalid).alias("bad"))
+    return keyed.groupBy("dataset_id").agg(F.sum("n").alias("n_rows"), F.sum("bad").alias("n_invalid_texts"), F.sum(F.col("n") - 1).alias("n_repeated_keys"))

@@ -34,8 +34,12 @@ def stages(spark: SparkSession, sf_dir: str) -> Stages:
 
 
 def built_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stages(spark, sf_dir)
-    return pairs.report_pairs(s.current, s.drug, s.reac, limit=None).withColumn("dataset_id", F.lit(DATASET))
+    return pairs_of(stages(spark, sf_dir))
+
+
+def pairs_of(s: Stages) -> DataFrame:
+    """The pairs of the stages, under the join budget and with known roles only, or an error."""
+    return pairs.report_pairs(s.current, s.drug, s.reac).withColumn("dataset_id", F.lit(DATASET))
 
 
 def built_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,10 +115,42 @@ _POPULATIONS = (
     "(select count(*) from demo) as source_demo_rows, (select count(*) from cur) as current_case_reports, "
     "(select count(distinct primaryid) from built) as eligible_reports, (select count(*) from built) as drug_event_pairs"
 )
-_QA = "source_demo_rows current_case_reports eligible_reports drug_event_pairs distinct_drug_role_groups distinct_event_pts source_quarters superseded_demo_rows".split()
+_QA = {
+    "source_quarters": "(select count(distinct quarter) from demo)", "source_demo_rows": "(select count(*) from demo)", "current_case_reports": "(select count(*) from cur)",
+    "superseded_demo_rows": "(select count(*) from demo) - (select count(*) from cur)", "duplicate_caseversion_rows": "(select count(*) - count(distinct (caseid, caseversion)) from demo)",
+    "drug_rows_raw": "(select count(*) from drug_all)", "reaction_rows_raw": "(select count(*) from reac_all)", "eligible_reports": "(select count(distinct primaryid) from built)",
+    "drug_event_pairs": "(select count(*) from built)", "distinct_drug_role_groups": "(select count(*) from (select distinct drug_text, drug_text_source, drug_role from built))",
+    "distinct_event_pts": "(select count(distinct event_pt) from built)", "aggregate_rows": "(select count(*) from made)", "demo_duplicate_primaryids": "(select count(*) - count(distinct primaryid) from demo)",
+    **{f"{n}_orphan_rows": f"(select count(*) from {t} where primaryid is null or primaryid not in (select primaryid from demo))" for n, t in (("drug", "drug"), ("reaction", "reac"))},
+    **{f"{n}_caseid_mismatches": f"(select count(*) from {t} join demo using (primaryid) where {t}.caseid <> demo.caseid)" for n, t in (("drug", "drug"), ("reaction", "reac"))},
+    **{f"eligible_{n}_component_rows": f"(select count(*) from {t})" for n, t in (("drug", "dc"), ("reaction", "ec"))},
+    **{f"unique_{n}_components": f"(select count(*) from (select distinct * from {t}))" for n, t in (("drug", "dc"), ("reaction", "ec"))},
+    **{f"duplicate_{n}_components_removed": f"(select count(*) from {t}) - (select count(*) from (select distinct * from {t}))" for n, t in (("drug", "dc"), ("reaction", "ec"))},
+    "max_projected_pairs_per_report": "(select max(pairs) from loads)", "reports_with_joinable_components": "(select count(*) from loads)",
+    **{f"{n}_rows_for_superseded_reports": f"(select count(*) from {t} where primaryid is null or primaryid not in (select primaryid from cur))" for n, t in (("drug", "drug"), ("reaction", "reac"))},
+}
+_LOADS = """loads as (
+  select primaryid, n_drugs * n_events as pairs from (select primaryid, count(distinct (drug_text, drug_text_source, drug_role)) as n_drugs from dc group by 1) join (select primaryid, count(distinct event_pt) as n_events from ec group by 1) using (primaryid)
+)"""
 _METRIC = "case when k > 0 then 'corrected' else 'observed' end as input_cells, case when k > 0 then 'haldane_anscombe' else 'none' end as correction_method, k as added_to_each_cell"
 _START = "make_date(left(quarter, 4)::int, right(quarter, 1)::int * 3 - 2, 1)"
 
+_REQUEST = f"""
+with wanted as (select dataset_id, drug_text, drug_text_source from disproportionality_cells where drug_role = 'all' and drug_text_source in ('PROD_AI', 'DRUGNAME') order by dataset_id, drug_reports desc, drug_text, drug_text_source limit 1),
+given as (select distinct c.* from disproportionality_cells c join wanted using (dataset_id, drug_text, drug_text_source) where drug_role = 'all'),
+{_scores('given')}, {_FISHER}, {_BH}
+select dataset_id, drug_text, event_pt, a, b, c, d, {_r('prr')}, {_r('ror')}, {_r('chi2')}, {_r('fisher_p')}, {_r('fdr_q')}, outcome as flag from adjusted"""
+
+
+def _text(c: str) -> str:
+    """A rounded number as text: in digits from 1e-4 to below 1e6, else with an exponent."""
+    v = f"round({c}, 6)"
+    power = f"floor(log10(abs({v})) + 1e-9)::int"
+    digits = f"regexp_replace(regexp_replace(round({v} / power(10::double, {power}), 9)::varchar, '0+$', ''), '[.]$', '')"
+    far = f"{digits} || case when {power} < 0 then 'e-' else 'e+' end || lpad(abs({power})::varchar, 2, '0')"
+    return f"case when {c} is null then '' when {v} = 0 then '0' when abs({v}) < 1e-4 or abs({v}) >= 1e6 then {far} else regexp_replace({v}::varchar, '[.]0$', '') end"
+
+
 SQL: dict[str, str] = {
     "latest_case_version": f"select caseid, primaryid, caseversion, quarter from (select *, row_number() over ({_NEWEST}) as rn from ({_DEMO}) where {_VALID}) where rn = 1",
     "integrity_counters": f"""
@@ -186,21 +218,61 @@ select {_KEY}, {_r('prr')}, {_r('prr_low')}, {_r('prr_high')}, place, case when
 with {_STAGES}, du as (select count(*) as u from (select distinct * from dc)), eu as (select count(*) as u from (select distinct * from ec))
 select 'drug' as component, count(*) as n_rows, any_value(u) as n_unique, count(*) - any_value(u) as n_repeated from dc cross join du
 union all select 'event', count(*), any_value(u), count(*) - any_value(u) from ec cross join eu""",
-    "qa_summary": f"""
-with {_STAGES}, w as (
-  select {_POPULATIONS}, (select count(*) from (select distinct drug_text, drug_text_source, drug_role from built)) as distinct_drug_role_groups,
-         (select count(distinct event_pt) from built) as distinct_event_pts, (select count(distinct quarter) from demo) as source_quarters,
-         (select count(*) from demo) - (select count(*) from cur) as superseded_demo_rows
-) {" union all ".join(f"select '{m}' as metric, {m} as value from w" for m in _QA)}""",
-    "protocol_scan": f"""
-with wanted as (select dataset_id, drug_text, drug_text_source from disproportionality_cells where drug_role = 'all' and drug_text_source in ('PROD_AI', 'DRUGNAME') order by dataset_id, drug_reports desc, drug_text, drug_text_source limit 1),
-given as (select distinct c.* from disproportionality_cells c join wanted using (dataset_id, drug_text, drug_text_source) where drug_role = 'all'),
-{_scores('given')}, {_FISHER}, {_BH}
-select dataset_id, drug_text, event_pt, a, b, c, d, {_r('prr')}, {_r('ror')}, {_r('chi2')}, {_r('fisher_p')}, {_r('fdr_q')}, outcome as flag from adjusted""",
+    "qa_summary": f"with {_STAGES}, {_LOADS} " + " union all ".join(f"select '{m}' as metric, ({v})::bigint as value" for m, v in _QA.items()),
+    "build_guards": f"""
+with {_STAGES}, {_LOADS}
+select (select max(pairs) from loads) as max_pairs, (select arg_max(primaryid, (pairs, primaryid)) from loads) as heaviest_report, (select count(*) from loads) as joinable_reports,
+       (select count(*) from loads where pairs > 10000) as over_budget,
+       (select count(*) from drug_ok where primaryid in (select primaryid from cur) and coalesce(upper(trim(role_cod)) not in ('', 'NA', 'PS', 'SS', 'C', 'I'), false)) as unknown_roles""",
+    "ordered_pairs": f"""
+with {_STAGES}
+select primaryid, drug_text, drug_text_source, drug_role, event_pt, row_number() over (partition by primaryid order by drug_text, drug_role, event_pt, drug_text_source)::int as place from built""",
+    "eligible_completeness": f"""
+with {_STAGES}, el as (select * from cur where primaryid in (select primaryid from built))
+select field_name, n_reports, n_missing, round(100.0::double * n_missing / n_reports, 6) as missing_percent from (
+  {" union all ".join(f"select '{c}' as field_name, count(*) as n_reports, sum(case when trim(coalesce({c}, '')) in ('', 'NA') then 1 else 0 end)::bigint as n_missing from el" for c in ("age", "sex", "occr_country", "serious"))}
+)""",
+    "text_checks": f"select dataset_id, count(*) as n_rows, 0::bigint as n_invalid_texts, count(*) - count(distinct ({_KEY})) as n_repeated_keys from disproportionality_cells group by all",
+    "chi2_pvalue": f"""
+with given as (select distinct a, b, c, d from disproportionality_cells), {_scores('given')}
+select a, b, c, d, round(case when chi2 <= 0 then 1 else list_sum(list_transform(range(0, 20000), lambda k: exp(-chi2 / 2 / power(sin((k + 0.5::double) * pi() / 40000), 2)))) / 20000 end, 9) + 0.0::double as chi2_p from labelled""",
+    "fisher_long_supports": f"""
+with base as (select distinct a, b, c, d, least(a + b, a + c) - greatest(0, a - d) as w from disproportionality_cells),
+given as (select distinct a * t as a, b * t as b, c * t as c, d * t as d from (select *, floor(5000 / w)::bigint + 1 as t from base where w > 0)),
+{_FISHER} select a, b, c, d, {_r('fisher_p')}, 'ok' as fisher_status from fisher""",
+    "prr_third_page": f"""
+with {_GIVEN}, {_scores('given')}, placed as (select *, row_number() over (partition by {_GROUP} order by round(prr, 6) desc, event_pt) as place, count(*) over (partition by {_GROUP}) as n from labelled)
+select {_KEY}, {_r('prr')}, place from placed where (place - 1) // 50 = least(2, (n - 1) // 50)""",
+    "count_ordered_page": f"""
+with {_GIVEN}, {_scores('given')}, placed as (select *, row_number() over (partition by {_GROUP} order by a desc, event_pt) as place, count(*) over (partition by {_GROUP}) as n from labelled where outcome = 'meets_profile')
+select {_KEY}, a, place from placed where (place - 1) // 50 = least(1, (n - 1) // 50)""",
+    "name_ordered_page": f"with {_GIVEN} select {_KEY}, place from (select *, row_number() over (partition by {_GROUP} order by event_pt) as place from given) where place <= 50",
+    "review_counts": f"with {_LIVE}, {_scores('full_tables')} select drug_text, count(*) as n_events, count(*) filter (outcome = 'meets_profile') as n_review from labelled group by all",
+    "row_order": """
+with given as (select distinct dataset_id, drug_text, event_pt from disproportionality_cells where drug_role = 'all'),
+one as (select dataset_id, drug_text from (select dataset_id, drug_text, count(*) as n from given group by all) order by n desc, dataset_id, drug_text limit 1),
+numbered as (select *, row_number() over (order by event_pt) as k, count(*) over () as n from given join one using (dataset_id, drug_text)),
+moved as (select *, case when k % 10 = 3 then k + 1 when k % 10 = 4 then k - 1 else k end as number from numbered)
+select m.dataset_id, m.drug_text, m.event_pt, m.number from moved m left join moved b on b.number = m.number - 1 where case when b.event_pt is null then m.number <> 1 else b.event_pt >= m.event_pt end""",
+    "protocol_scan": _REQUEST,
+    "store_scan": _REQUEST,
+    "result_export": f"""
+{_REQUEST[: _REQUEST.index("select dataset_id, drug_text, event_pt, a, b, c, d")]},
+base as (select *, row_number() over (order by event_pt) as rn, count(*) over () as cnt, case drug_text_source when 'PROD_AI' then 'faers-prod_ai' else 'faers-drugname' end || ':' || drug_text as concept from adjusted),
+long as (
+  select *, 'fisher_exact' as method, 'two_sided_probability_ordering' as measure, fisher_p as e, null::double as lo, null::double as hi, fisher_p as p_, fdr_q as q_, 'observed' as ic, 'false' as za, 'none' as zm, 0::double as zz from base
+  union all select *, 'prr', 'reporting_ratio', prr, prr_low, prr_high, null, null, case when k > 0 then 'corrected' else 'observed' end, (k > 0)::varchar, case when k > 0 then 'haldane_anscombe' else 'none' end, k from base
+  union all select *, 'ror', 'reporting_odds_ratio', ror, ror_low, ror_high, null, null, case when k > 0 then 'corrected' else 'observed' end, (k > 0)::varchar, case when k > 0 then 'haldane_anscombe' else 'none' end, k from base
+)
+select 'all_events_of_one_drug' as result_family_id, cnt::varchar as result_row_count, rn::varchar as result_row_number, {_safe('concept')} as drug_concept_id, 'source_pt:' || event_pt as event_concept_id, {_safe('event_pt')} as event_term,
+       'UNCLASSIFIED_SOURCE_PT' as event_category, a::varchar as a, b::varchar as b, c::varchar as c, d::varchar as d, (a + b + c + d)::varchar as n, method, measure,
+       {_text('e')} as estimate, {_text('lo')} as lower_95, {_text('hi')} as upper_95, {_text('p_')} as p_value, {_text('q_')} as q_value, ic as input_cells, za as zero_cell_correction_applied, zm as zero_cell_correction_method, {_text('zz')} as added_to_each_cell
+from long""",
     "metrics_long": f"""
-with {_GIVEN}, {_scores('given')}
-select {_KEY}, 'prr' as method, 'reporting_ratio' as measure, round(prr, 6) as estimate, round(prr_low, 6) as lower_95, round(prr_high, 6) as upper_95, {_METRIC} from labelled
-union all select {_KEY}, 'ror', 'reporting_odds_ratio', round(ror, 6), round(ror_low, 6), round(ror_high, 6), {_METRIC} from labelled""",
+with {_GIVEN}, {_scores('given')}, {_FISHER}, {_BH}
+select {_KEY}, 'prr' as method, 'reporting_ratio' as measure, round(prr, 6) as estimate, round(prr_low, 6) as lower_95, round(prr_high, 6) as upper_95, null::double as p_value, null::double as q_value, {_METRIC} from labelled
+union all select {_KEY}, 'ror', 'reporting_odds_ratio', round(ror, 6), round(ror_low, 6), round(ror_high, 6), null, null, {_METRIC} from labelled
+union all select {_KEY}, 'fisher_exact', 'two_sided_probability_ordering', round(fisher_p, 6), null, null, round(fisher_p, 6), round(fdr_q, 6), 'observed', 'none', 0 from adjusted""",
     "review_flags": f"""
 with {_GIVEN}, {_scores('given')}
 select {_KEY}, 'evans_educational' as profile_id, outcome as flag, 'a=' || a || '; PRR=' || round(prr, 6)::decimal(24,6)::varchar || '; Yates chi-square=' || round(chi2, 6)::decimal(24,6)::varchar as reason from labelled""",
@@ -209,10 +281,23 @@ select {_KEY}, 'evans_educational' as profile_id, outcome as flag, 'a=' || a ||
     "live_scan_drug": f"""
 with {_LIVE}, one as (select drug_text from (select drug_text, count(distinct primaryid) as n from report_pairs group by 1) order by n desc, drug_text limit 1),
 own as (select full_tables.* from full_tables join one using (drug_text)), {_scores('own')} select event_pt, a, b, c, d, {_r('prr')}, {_r('ror')}, {_r('chi2')}, {_LABEL} from labelled""",
-    "result_revalidation": f"select {_KEY}, '' as field, '' as stored_value, '' as computed_value from disproportionality_cells where a + b + c + d <> universe_reports",
+    "result_revalidation": f"""
+with {_GIVEN}, tagged as (select *, (a + 2 * b) % 211 = 11 as gone from given)
+select {_KEY}, 'row' as field from tagged where gone
+union all select {_KEY}, 'prr' from tagged where not gone and b % 101 = 7
+union all select {_KEY}, 'ror_high' from tagged where not gone and c % 103 = 5
+union all select {_KEY}, 'fisher_p' from tagged where not gone and d % 107 = 3
+union all select {_KEY}, 'fdr_q' from tagged where not gone and event_reports % 109 = 2
+union all select {_KEY}, 'outcome' from tagged where not gone and drug_reports % 113 = 4""",
+    "quarters_scan": """
+select quarter, nullif(nullif(trim(role_cod), ''), 'NA') as role_cod, count(*) as n_rows, count(nullif(nullif(trim(drugname), ''), 'NA')) as n_named, 0::bigint as n_routes from drug_all where quarter is not null group by all""",
+    "snapshot_checks": f"""
+with {_STAGES}
+select (select count(*) from made) as n_cells, 1::bigint as n_datasets, (select max(universe_reports) from made) as universe_reports, 1::bigint as n_constants, 'all_other_eligible_reports' as comparator,
+       'all_recorded_source_pts' as event_scope, 'MAX_CASEVERSION_PER_CASEID_THEN_MAX_PRIMARYID' as deduplication_policy, (select count(*) from cur) as current_reports, (select count(distinct primaryid) from cur) as retained_ids""",
     "csv_scan_roundtrip": f"""
 select {", ".join(f"nullif(nullif(trim({c}), ''), 'NA') as {c}" for c in ("primaryid", "role_cod", "drugname", "prod_ai", "route", "dose_vbm"))}, count(*) as n_rows from drug_all group by all""",
     "parquet_roundtrip": "select quarter, count(*) as n_rows, count(distinct (dataset_id, primaryid)) as n_reports from report_pairs group by all",
-    "cells_text_roundtrip": f"with {_GIVEN} select dataset_id, drug_role, count(*) as n_cells, sum(a)::bigint as sum_a, sum(d)::bigint as sum_d from given where drug_text_source is not null group by all",
+    "cells_text_roundtrip": f"with {_GIVEN} select dataset_id, drug_role, count(*) as n_cells, sum(a)::bigint as sum_a, sum(d)::bigint as sum_d from given group by all",
     **oracle_feeds.SQL,
 }

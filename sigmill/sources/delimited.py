@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigmill.errors import HeaderCollision, MissingColumns, UnsafeText
+from sigmill.errors import HeaderCollision, InvalidTable, MissingColumns, UnsafeText
 from sigmill.functions.ids import present, trimmed
 from sigmill.functions.text import is_formula
-from sigmill.operators.cells import CELL_KEY, COUNTS
+from sigmill.operators.cells import CELL_KEY, COUNTS, violations
 
 #: fixed values: columns of the report tables, and those that a file must have
 COLUMNS = {
@@ -94,7 +95,48 @@ def write_by_quarter(df: DataFrame, path: str) -> None:
     df.repartition("quarter", F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("errorifexists").partitionBy("quarter").parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and paths on it."""
+    named = spark._jvm.org.apache.hadoop.fs.Path
+    return named(path).getFileSystem(spark._jsc.hadoopConfiguration()), named
+
+
 def write_cells(cells: DataFrame, path: str) -> None:
-    """Parquet by data set, sorted by drug within the files, so that a request reads few row groups."""
+    """Cells as a checked store: whole at ``path``, or not there.
+
+    They are written aside as Parquet by data set, sorted by drug within the files, so that a request reads few row
+    groups; what was written is read again and checked (valid cells, each once, one universe a data set, at least one),
+    and the folder is then renamed. A store that fails is removed. Refuses to overwrite.
+    """
+    files, named = _files(cells.sparkSession, path)
+    if files.exists(named(path)):
+        raise FileExistsError(f"{path} does exist")
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    try:
+        _write_sorted(cells, staged)
+        require_store(cells.sparkSession.read.schema(cells.schema).parquet(staged))
+        if not files.rename(named(staged), named(path)):
+            raise OSError(f"{staged} could not be renamed")
+    finally:
+        files.delete(named(staged), True)
+
+
+def require_store(cells: DataFrame) -> None:
+    """Raises unless there is a cell, all are valid, each occurs once and every data set has one universe."""
+    row = violations(cells).agg(F.count("*").alias("n"), F.count("violation").alias("bad"), F.min("violation").alias("first")).first()
+    if not row["n"] or row["bad"]:
+        raise InvalidTable(f"{row['bad']} invalid cells, such as: {row['first']}" if row["n"] else "no cells")
+    if cells.groupBy("dataset_id").agg(F.min("universe_reports").alias("low"), F.max("universe_reports").alias("high")).where("low <> high").limit(1).count():
+        raise InvalidTable("a data set of several universes")
+    if cells.groupBy(*CELL_KEY).count().where("count > 1").limit(1).count():
+        raise InvalidTable("a cell occurs twice")
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of a store; a filter by data set reads its folder only, one by drug few row groups of it."""
+    return spark.read.schema(CELL_SCHEMA).parquet(path).select(*CELL_SCHEMA.names)
+
+
+def _write_sorted(cells: DataFrame, path: str) -> None:
     placed = cells.repartitionByRange("dataset_id", "drug_text", "drug_text_source", "drug_role")
     placed.sortWithinPartitions("dataset_id", "drug_text", "drug_text_source", "drug_role", "event_pt").write.mode("errorifexists").partitionBy("dataset_id").parquet(path)
