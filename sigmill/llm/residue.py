@@ -20,12 +20,10 @@ from sigmill.runtime import widened
 
 #: Share of a block's words that dummy text, error messages or notices must make up.
 DENSITY = 0.5
-#: Words up to which any error message or notice makes a whole text a case; of a longer one it must be the larger part.
-NOTICE_WORDS = 60
 #: Words up to which a piece of a whole text without an end mark is a menu or footer entry, which is no prose.
 MENU_WORDS = 6
-#: Words of a sentence beyond which a stock instruction counts only if it is one of ``STOCK_LONG``.
-STOCK_WORDS = 12
+#: Share of a sentence's words that a stock phrase must make up, unless it is one of ``STOCK_LONG``.
+STOCK_SHARE = 1 / 6
 
 # --- fixed patterns: placeholders, by delimiter -------------------------------------------------------------------
 _NAME = r"[A-Za-z][\w.\- ]{0,40}?"
@@ -201,6 +199,12 @@ def _pseudo(words: list[str]) -> bool:
     return len(words) >= 10 and all(w.isalpha() and w.isascii() for w in words) and not FUNCTION_WORDS.intersection(words) and len(set(words)) <= 0.9 * len(words)
 
 
+def _stock(sentence: str, words: int) -> bool:
+    """Whether a sentence is a stock instruction or dummy text: begins as one, to no small part of its words."""
+    found = _STOCK.search(sentence)
+    return bool(found) and (len(_WORD.findall(found.group())) >= STOCK_SHARE * words or bool(_STOCK_LONG.search(sentence)))
+
+
 def cell_case(cell: str, whole: bool = False) -> str | None:
     """What is left over in a text cell (``placeholder``, ``dummy``, ``error``, ``scripts``), or None.
 
@@ -223,7 +227,7 @@ def cell_case(cell: str, whole: bool = False) -> str | None:
             own = [w.lower() for w in _WORD.findall(sentence)]
             if not own:
                 continue
-            if _repeats(own) or _pseudo(own) or "lorem ipsum" in sentence.lower()[:20] or ((len(own) <= STOCK_WORDS or _STOCK_LONG.search(sentence)) and _STOCK.search(sentence)):
+            if _repeats(own) or _pseudo(own) or "lorem ipsum" in sentence.lower()[:20] or _stock(sentence, len(own)):
                 parts["dummy"] += len(own)
             elif _REPORTS.search(sentence) and not _NAMED.match(sentence):
                 continue
@@ -241,10 +245,10 @@ def cell_case(cell: str, whole: bool = False) -> str | None:
                 menu += len(own)
         if parts["dummy"] >= DENSITY * words:
             return "dummy"
-        short, prose_words = whole and words <= NOTICE_WORDS, words - menu if whole else words
-        if parts["scripts"] and (short or parts["scripts"] + parts["error"] >= DENSITY * prose_words):
+        prose_words = words - menu if whole else words
+        if parts["scripts"] and parts["scripts"] + parts["error"] >= DENSITY * prose_words:
             return "scripts"
-        if status and (short or parts["error"] >= DENSITY * prose_words):
+        if status and parts["error"] >= DENSITY * prose_words:
             return "error"
     return None
 

@@ -114,6 +114,21 @@ def test_no_alternative_is_spared(pattern):
         assert texts and all(needs.met(residue.folded(text)) for text in texts)
 
 
+@pytest.mark.parametrize("times", [1, 3, 12, 60, 400])
+def test_length_alone_decides_nothing(times):
+    page = "404 Not Found\n" + "The page that you asked for does not exist. " * times
+    prose = "404 Not Found\n" + "The table of this row holds seven of the old counts. " * times
+    assert residue.cell_case(page, whole=True) == "error" and residue.cell_case(prose, whole=True) is None
+    notice = "Please enable JavaScript to view this notebook. " * times
+    assert residue.cell_case(notice, whole=True) == "scripts" and residue.cell_case(notice) == "scripts"
+
+
+def test_stock_phrases_count_by_their_share_of_the_sentence():
+    assert residue.cell_case("Sample text for the lab report of the second week.") == "dummy"
+    assert residue.cell_case("Sample text is drawn from the corpus by the loader above, and every tenth of the rows that it gives back is kept for the tests.") is None
+    assert residue.cell_case("Describe your main results here, then hand in the sheet at the end of the lesson, please.") == "dummy"
+
+
 def test_needs_of_a_pattern():
     assert residue.Needs(r"(?i)Ab\s+(?:c?|de)|f(?:gh|ij)+k*").alternatives == [[["ab"]], [["f"], ["gh", "ij"]]]
     assert residue.Needs(r"\d+").met("")
