@@ -68,7 +68,7 @@ def _short(tables: np.ndarray) -> np.ndarray:
     tail = inside & (logs <= seen + math.log1p(SLACK))
     # relative to the largest term of the tail, so that tiny sums keep their digits
     top = np.where(tail, logs, -np.inf).max(1, keepdims=True)
-    tail_sum = np.where(tail, np.exp(logs - top), 0.0).sum(1)
+    tail_sum = np.exp(np.where(tail, logs - top, -np.inf)).sum(1)
     return np.where(tail.sum(1) == inside.sum(1), 1.0, np.exp(top[:, 0] + np.log(tail_sum) - np.log(p.sum(1))))
 
 
