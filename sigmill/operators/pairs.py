@@ -18,18 +18,25 @@ EVENT_CATEGORY = "UNCLASSIFIED_SOURCE_PT"
 DEMOGRAPHICS = "event_dt fda_dt age age_cod sex occr_country reporter_country serious seriousnessdeath seriousnesslifethreatening seriousnesshospitalization seriousnessdisabling seriousnesscongenitalanomali seriousnessother".split()
 
 
-def drug_components(drug: DataFrame, current: DataFrame) -> DataFrame:
-    """Eligible drug rows of the current reports: ``primaryid``, ``drug_text``, ``drug_text_source``, ``drug_role``."""
+_ELIGIBLE = "drug_text is not null and drug_role is not null"
+
+
+def _named_drugs(drug: DataFrame, current: DataFrame) -> DataFrame:
+    """Drug rows of the current reports in normal form, with a role code that isn't known as ``strange``."""
     own = usable(drug, ("primaryid",)).join(current.select("primaryid"), "primaryid", "left_semi")
     text, source = drug_text(F.col("prod_ai"), F.col("drugname")), drug_text_source(F.col("prod_ai"), F.col("drugname"))
-    named = own.select("primaryid", text.alias("drug_text"), source.alias("drug_text_source"), role_name(F.col("role_cod")).alias("drug_role"))
-    return named.where("drug_text is not null and drug_role is not null")
+    strange = F.when(unknown_role(F.col("role_cod")), F.col("role_cod"))
+    return own.select("primaryid", text.alias("drug_text"), source.alias("drug_text_source"), role_name(F.col("role_cod")).alias("drug_role"), strange.alias("strange"))
+
+
+def drug_components(drug: DataFrame, current: DataFrame) -> DataFrame:
+    """Eligible drug rows of the current reports: ``primaryid``, ``drug_text``, ``drug_text_source``, ``drug_role``."""
+    return _named_drugs(drug, current).where(_ELIGIBLE).drop("strange")
 
 
-def require_known_roles(drug: DataFrame, current: DataFrame) -> None:
+def _require_known_roles(named: DataFrame) -> None:
     """Raises if a drug row of a current report has a role code outside the known ones."""
-    own = usable(drug, ("primaryid",)).join(current.select("primaryid"), "primaryid", "left_semi")
-    unknown = [r[0] for r in own.where(unknown_role(F.col("role_cod"))).select("role_cod").distinct().limit(5).collect()]
+    unknown = [r[0] for r in named.where("strange is not null").select("strange").distinct().limit(5).collect()]
     if unknown:
         raise UnsupportedRole(f"unsupported role codes: {sorted(unknown)}")
 
@@ -79,10 +86,12 @@ def report_pairs(current: DataFrame, drug: DataFrame, reac: DataFrame, limit: in
     without a drug or without an event has no pairs; components with NULL or blank texts and drugs without a role are
     not eligible.
     """
-    drugs, events = drug_components(drug, current).distinct(), event_components(reac, current).distinct()
+    named, events = _named_drugs(drug, current).distinct(), event_components(reac, current).distinct()
+    if limit is not None:
+        named, events = cut(named), cut(events)  # looked through first, joined then
+        _require_known_roles(named)
+    drugs = named.where(_ELIGIBLE).drop("strange")
     if limit is not None:
-        require_known_roles(drug, current)
-        drugs, events = cut(drugs), cut(events)  # counted first, joined then
         require_join_budget(drugs, events, limit)
     known = [c for c in DEMOGRAPHICS if c in current.columns]
     facts = current.select("primaryid", "caseid", "quarter", *(present(F.col(c)).alias(c) for c in known))
