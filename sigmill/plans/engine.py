@@ -12,6 +12,7 @@ from sigmill.operators.cells import violations
 from sigmill.operators.metrics import review_flags, with_metrics
 from sigmill.operators.multiplicity import FAMILY, benjamini_hochberg
 from sigmill.plans.protocol import BATCH_METHODS, Protocol, digest, normalise
+from sigmill.runtime import cut
 
 #: fixed values: rows that a result may have
 RESULT_ROWS = 50_000
@@ -49,7 +50,7 @@ def analyse(cells: DataFrame, request: Protocol, most: int = RESULT_ROWS) -> Dat
         raise InvalidTable("a selected cell doesn't add up")
     scored = with_statistics(rows)
     if "fisher_exact" in p.methods:
-        scored = benjamini_hochberg(with_fisher(scored))
+        scored = benjamini_hochberg(with_fisher(scored), counted=rows)
     else:
         scored = scored.withColumns({"fisher_p": F.lit(None).cast("double"), "fdr_q": F.lit(None).cast("double")})
     scored = with_metrics(scored, p.methods)
@@ -59,8 +60,12 @@ def analyse(cells: DataFrame, request: Protocol, most: int = RESULT_ROWS) -> Dat
 
 
 def analyse_all(cells: DataFrame) -> DataFrame:
-    """Statistics, exact tests and q-values of all cells, each (dataset, drug, source, role) a family of tests."""
-    return benjamini_hochberg(with_fisher(with_statistics(cells)), family=FAMILY)
+    """Statistics, exact tests and q-values of all cells, each (dataset, drug, source, role) a family of tests.
+
+    The cells are written once, as they are read for the distinct tables, for the families' sizes and for the result.
+    """
+    cells = cut(cells)
+    return benjamini_hochberg(with_fisher(with_statistics(cells)), family=FAMILY, counted=cells)
 
 
 def result_digest(results: DataFrame, columns: tuple[str, ...]) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sigmill import runtime
 from sigmill.functions import stats
 from sigmill.functions.exact import INVALID, TOO_LARGE, _long, canonical, fisher_table, fisher_two_sided, with_fisher
-from sigmill.operators import metrics, ranking, revalidate
+from sigmill.operators import metrics, multiplicity, ranking, revalidate
 from sigmill.operators.multiplicity import benjamini_hochberg
 
 ABCD = "a long, b long, c long, d long"
@@ -135,6 +135,28 @@ def test_false_discovery_rate(spark):
     assert q_values(spark, []) == []
 
 
+@pytest.mark.parametrize("most, rows_per_task", [(runtime.BROADCAST_BYTES, multiplicity.ROWS_PER_TASK), (runtime.BROADCAST_BYTES, 50), (0, 50)])
+def test_false_discovery_rate_of_a_hot_family(spark, monkeypatch, most, rows_per_task):
+    monkeypatch.setattr(runtime, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(multiplicity, "ROWS_PER_TASK", rows_per_task)
+    random = np.random.default_rng(3)
+    ps = [*10 ** random.uniform(-12, 0, 300), *[1.0] * 200, *[0.0] * 5, *[0.25] * 40, *[None] * 30, float("nan")]
+    rows = [("d", "hot", None, "r", n, None if p is None else float(p)) for n, p in enumerate(ps)]
+    rows += [("d", "hot", "None", "r", 0, 0.2), ("d", "hot", "", "r", 0, 0.3), (None, None, None, None, 0, 0.4), (None, None, None, None, 1, 0.4)]
+    tests = spark.createDataFrame(rows, "dataset_id string, drug_text string, drug_text_source string, drug_role string, n long, fisher_p double")
+    found = {tuple(r)[:5]: r.fdr_q for r in benjamini_hochberg(tests).collect()}
+    ranked = sorted((p for p in ps if p is not None), key=lambda p: (p != p, p))
+    q, least = {}, 1.0
+    for rank in range(len(ranked), 0, -1):
+        p = ranked[rank - 1]
+        least = min(least, p * len(ranked) / rank) if p == p else least
+        q.setdefault(str(p), least)
+    assert len(found) == len(rows)
+    for key, p in ((r[:5], r[5]) for r in rows[: len(ps)]):
+        assert found[key] == (None if p is None else pytest.approx(q[str(p)], rel=1e-12))
+    assert [found[r[:5]] for r in rows[len(ps) :]] == pytest.approx([0.2, 0.3, 0.4, 0.4])
+
+
 def test_pages_and_forest(spark):
     rows = spark.createDataFrame([(f"e{n:03}", float(n % 7) if n else None, 0.1 if n % 5 else 0.0, 9.0, "g") for n in range(120)], "event_pt string, prr double, prr_low double, prr_high double, g string")
     everything = sorted(((r.prr if r.prr is not None else -1), r.event_pt) for r in rows.collect())
