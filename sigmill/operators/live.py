@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sigmill.errors import InvalidProtocol, NoMatchingRows
 from sigmill.functions.stats import LIVE_LABELS, with_statistics
 from sigmill.operators.cells import from_margins
 from sigmill.operators.ranking import SCAN_EVENTS
+from sigmill.runtime import cut, lookup
 
 #: fixed values: longest drug query
 QUERY_LETTERS = 120
@@ -45,7 +47,7 @@ def scan(reports: DataFrame, drug: str, k: int = SCAN_EVENTS) -> DataFrame:
     top = found.where("event_pt is not null").select("event_pt", "primaryid").distinct().groupBy("event_pt").agg(F.count("*").alias("a")).orderBy(F.col("a").desc(), "event_pt").limit(k)
     background = reports.join(F.broadcast(top.select("event_pt")), "event_pt", "left_semi").groupBy("event_pt").agg(F.count_distinct("primaryid").alias("event_reports"))
     universe = reports.agg(F.count_distinct("primaryid").alias("universe_reports"))
-    joined = top.join(background, "event_pt", "left").crossJoin(F.broadcast(universe)).withColumn("drug_reports", F.lit(totals))
+    joined = cut(top.join(background, "event_pt", "left").crossJoin(F.broadcast(universe)).withColumn("drug_reports", F.lit(totals)))
     if joined.where("event_reports is null or event_reports = 0").limit(1).count():
         raise NoMatchingRows("an event has no background count; the scan is not complete")
     return _scored(joined).orderBy("event_pt")
@@ -53,13 +55,12 @@ def scan(reports: DataFrame, drug: str, k: int = SCAN_EVENTS) -> DataFrame:
 
 def scan_all(reports: DataFrame, k: int = SCAN_EVENTS) -> DataFrame:
     """``scan`` of every drug at once (``drug_text`` added): margins are counted once and joined, not drug by drug."""
-    from pyspark.sql.window import Window
-
     seen = reports.select("primaryid", "drug_text", "event_pt").where("drug_text is not null and event_pt is not null").distinct()
     counts = seen.groupBy("drug_text", "event_pt").agg(F.count("*").alias("a"))
     place = F.row_number().over(Window.partitionBy("drug_text").orderBy(F.col("a").desc(), "event_pt"))
     top = counts.withColumn("place", place).where(F.col("place") <= k)
     drugs = seen.select("drug_text", "primaryid").distinct().groupBy("drug_text").agg(F.count("*").alias("drug_reports"))
-    events = reports.where("event_pt is not null").select("event_pt", "primaryid").distinct().groupBy("event_pt").agg(F.count("*").alias("event_reports"))
+    events = cut(reports.where("event_pt is not null").select("event_pt", "primaryid").distinct().groupBy("event_pt").agg(F.count("*").alias("event_reports")))
     universe = reports.agg(F.count_distinct("primaryid").alias("universe_reports"))
-    return _scored(top.join(drugs, "drug_text").join(events, "event_pt").crossJoin(F.broadcast(universe)))
+    # the commonest event is a row of almost every drug, so it is looked up and not met in one task
+    return _scored(cut(lookup(top.join(drugs, "drug_text"), events, ["event_pt"]).crossJoin(F.broadcast(universe))))
