@@ -100,8 +100,8 @@ def cells(pairs: DataFrame, dataset_id: str | None = None) -> DataFrame:
     of_drug = drugs.drop("n_rows").join(margins.select("drug", *(F.col(n).alias(f"of_{n}") for n in names)), "drug")
     of_event = events.drop("dataset_id").join(seen.select("event", "report").distinct().groupBy("event").agg(F.count("*").alias("event_reports")), "event")
     # with their margins these have a row an item as before, and a few numbers more in each
-    of_drug, of_event = F.broadcast(of_drug) if few_drugs else of_drug, F.broadcast(of_event) if few_events else of_event
-    joined = a.join(of_drug, "drug").join(of_event, "event").join(universe(pairs.where(" and ".join(f"{c} is not null" for c in needed))), "dataset_id")
+    joined = lookup(lookup(a, of_drug, ["drug"], few_drugs), of_event, ["event"], few_events)
+    joined = joined.join(universe(known.withColumnRenamed("report", "primaryid")), "dataset_id")
     roles = F.array(*(F.struct(F.lit(n).alias("drug_role"), F.col(n).alias("a"), F.col(f"of_{n}").alias("drug_reports")) for n in names))
     full = joined.select("dataset_id", "drug_text", "drug_text_source", "event_pt", "event_reports", "universe_reports", F.explode(F.filter(roles, lambda r: r["a"] > 0)).alias("r")).select("*", "r.*")
     full = full.withColumns({"b": F.col("drug_reports") - F.col("a"), "c": F.col("event_reports") - F.col("a")})
