@@ -82,12 +82,11 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     margin = placed.groupBy("drug", "part", "report").agg(F.min("code").alias("least")).where("least > 0").groupBy("drug", "part").agg(F.count("*").alias("n")).groupBy("drug").agg(F.sum("n").alias("drug_n"))
     of_drug = drugs.drop("n_rows").join(margin, "drug")
     of_event = events.drop("dataset_id").join(seen.where("event is not null").select("event", "report").distinct().groupBy("event").agg(F.count("*").alias("event_n")), "event")
-    # with their margins these have a row an item as before, and a number more in each
-    of_drug, of_event = F.broadcast(of_drug) if few_drugs else of_drug, F.broadcast(of_event) if few_events else of_event
     universe = base.select("dataset_id", "report").distinct().groupBy("dataset_id").agg(F.count("*").alias("universe"))
     event = F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     pairs = coded.select(F.shiftright("code", 32).cast("int").alias("drug"), event.alias("event"), "n").where("event > 0")
-    joined = pairs.join(of_drug, "drug").join(of_event, "event").join(universe, "dataset_id")
+    # with their margins the items have a row each as before, and a number more in it
+    joined = lookup(lookup(pairs, of_drug, ["drug"], few_drugs), of_event, ["event"], few_events).join(universe, "dataset_id")
     a, b, c = F.col("n"), F.col("drug_n") - F.col("n"), F.col("event_n") - F.col("n")
     d = F.col("universe") - F.col("drug_n") - F.col("event_n") + F.col("n")
     return joined.select(
