@@ -72,13 +72,14 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], fits: bool | None =
 
     The table is broadcast if it was measured to be small (``fits``, if the caller has measured it). Else each of its rows is copied for ``parts`` parts, over
     which the rows of a key are spread by their content and map task, so that a key of a third of all rows is no
-    single task's burden.
+    single task's burden. That join is a merge join by hint: the optimiser guesses the size from the files, which can be
+    a hundredth of the rows', and would have the driver build a broadcast of all copies.
     """
     if bounded(table) if fits is None else fits:
         return rows.join(F.broadcast(table), on, "left")
     spread_out = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns) + F.spark_partition_id(), F.lit(parts)).cast("int"))
     copies = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return spread_out.join(copies, [*on, "_part"], "left").drop("_part")
+    return spread_out.join(copies.hint("merge"), [*on, "_part"], "left").drop("_part")
 
 
 def widened(df: DataFrame) -> DataFrame:
