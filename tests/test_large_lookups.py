@@ -18,7 +18,7 @@ def folder(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("query, n_rows", [(core.bh_qvalues, 520)])
+@pytest.mark.parametrize("query, n_rows", [(core.bh_qvalues, 520), (core.metrics_long, 1560)])
 def test_results_without_a_broadcast(spark, folder, monkeypatch, query, n_rows):
     want = sorted(map(str, query(spark, folder).collect()))
     monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
