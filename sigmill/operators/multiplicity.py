@@ -52,7 +52,8 @@ def benjamini_hochberg(tests: DataFrame, p: str = "fisher_p", family: tuple[str,
     The family size counts the rows with a p; rows without one get no q. Equal p get equal q whatever their order. A NULL
     in a family column is a value of its own. Families of more than ``ROWS_PER_TASK`` rows, such as one with a third of
     all, are not brought together: they are ranked in blocks (with the same result), and their rows look up the q of
-    their p. ``counted`` is a table of the same rows that is cheaper to read, for the families' sizes.
+    their p. ``counted`` is a table of the same rows, or of more, that is cheaper to read, for the families' sizes: a family
+    that is taken for a large one gets the same q.
     """
     family_key = F.struct(*family)  # a struct with a NULL field equals another such
     sizes = (tests if counted is None else counted).groupBy(family_key.alias("_family")).agg(F.count("*").alias("_rows"))

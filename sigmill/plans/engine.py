@@ -59,13 +59,17 @@ def analyse(cells: DataFrame, request: Protocol, most: int = RESULT_ROWS) -> Dat
     return scored.orderBy("event_pt")
 
 
-def analyse_all(cells: DataFrame) -> DataFrame:
+def analyse_all(cells: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Statistics, exact tests and q-values of all cells, each (dataset, drug, source, role) a family of tests.
 
-    The cells are written once, as they are read for the distinct tables, for the families' sizes and for the result.
+    ``counted`` has the families' rows, or more of them, and is cheaper to read, for the families' sizes; without it the
+    cells are written once for both readers. The statistics follow from the counts, so they come last and aren't shuffled.
     """
-    cells = cut(cells)
-    return benjamini_hochberg(with_fisher(with_statistics(cells)), family=FAMILY, counted=cells)
+    if counted is None:
+        cells = counted = cut(cells)
+    scored = with_statistics(benjamini_hochberg(with_fisher(cells), family=FAMILY, counted=counted))
+    last = ("fisher_p", "fisher_status", "fdr_q")
+    return scored.select(*(c for c in scored.columns if c not in last), *last)
 
 
 def result_digest(results: DataFrame, columns: tuple[str, ...]) -> str:

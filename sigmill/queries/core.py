@@ -139,6 +139,10 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_statistics(reports.given_cells(spark, sf_dir))
 
 
+def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.analyse_all(reports.given_cells(spark, sf_dir), table(spark, sf_dir, "disproportionality_cells"))
+
+
 def prr_ror(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("prr", "prr_low", "prr_high", "ror", "ror_low", "ror_high")
     return _rounded(_scored(spark, sf_dir), **{n: n for n in names}).select(*KEY, "zero_corrected", *names)
@@ -176,7 +180,7 @@ def fisher_long_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bh_qvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(engine.analyse_all(reports.given_cells(spark, sf_dir)), 6, fdr_q="fdr_q").select(*KEY, "fdr_q")
+    return _rounded(_analysed(spark, sf_dir), 6, fdr_q="fdr_q").select(*KEY, "fdr_q")
 
 
 def drug_signal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,7 +301,7 @@ def result_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three methods, a row each."""
-    found = engine.analyse_all(reports.given_cells(spark, sf_dir))
+    found = _analysed(spark, sf_dir)
     long = metrics.metrics_long(metrics.with_metrics(found, ("prr", "ror", "fisher_exact")), tuple(KEY))
     names = ("estimate", "lower_95", "upper_95", "p_value", "q_value")
     return _rounded(long, **{n: n for n in names}).select(*KEY, "method", "measure", *names, "input_cells", "correction_method", "added_to_each_cell")
@@ -331,8 +335,8 @@ def review_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored results, some of which were changed by rule, against a recomputation from the margins: what was changed."""
-    given, place = reports.given_cells(spark, sf_dir), _shared_folder(spark)
-    engine.analyse_all(given).write.parquet(place)
+    given, place = cut(reports.given_cells(spark, sf_dir)), _shared_folder(spark)  # read several times
+    engine.analyse_all(given, given).write.parquet(place)
     stored = spark.read.parquet(place).where("(a + 2 * b) % 211 <> 11")
     damage = {
         "prr": F.when(F.expr("b % 101 = 7"), F.col("prr") * (1 + 1e-6)).otherwise(F.col("prr")),
@@ -341,7 +345,7 @@ def result_revalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fdr_q": F.when(F.expr("event_reports % 109 = 2"), F.lit(None)).otherwise(F.col("fdr_q")),
         "outcome": F.when(F.expr("drug_reports % 113 = 4"), F.concat(F.lit("not "), "outcome")).otherwise(F.col("outcome")),
     }
-    recomputed = engine.analyse_all(cells.from_margins(given.select(*KEY, "a", "drug_reports", "event_reports", "universe_reports")))
+    recomputed = engine.analyse_all(cells.from_margins(given.select(*KEY, "a", "drug_reports", "event_reports", "universe_reports")), given)
     return revalidate.mismatches(stored.withColumns(damage), recomputed, tuple(KEY)).select(*KEY, "field")
 
 

@@ -18,10 +18,17 @@ def folder(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("query, n_rows", [(core.bh_qvalues, 520), (core.metrics_long, 1560)])
+@pytest.mark.parametrize("query, n_rows", [(core.bh_qvalues, 520), (core.metrics_long, 1560), (core.result_revalidation, 293)])
 def test_results_without_a_broadcast(spark, folder, monkeypatch, query, n_rows):
     want = sorted(map(str, query(spark, folder).collect()))
     monkeypatch.setattr(runtime, "BROADCAST_BYTES", 0)
     found = query(spark, folder)
     assert sorted(map(str, found.collect())) == want and len(want) == n_rows
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_large_lookup_is_no_broadcast(spark, folder):
+    rows = runtime.table(spark, folder, "disproportionality_cells")
+    found = runtime.lookup(rows.select("a", "b"), rows.groupBy("a").agg(F.count("*").alias("n")), ["a"], fits=False)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("n is null").count() == 0 and found.count() == 520

@@ -108,6 +108,13 @@ def test_long_and_short_ways_agree():
     assert _long(250_000, 250_000, 250_000, 250_000) == (1.0, "ok") and _long(5000, 0, 0, 5000)[0] < 1e-300
 
 
+def test_a_table_gets_the_same_bits_in_any_batch():
+    rng = np.random.default_rng(8)
+    tables = rng.integers(0, 12, (400, 4)) * rng.integers(1, 90, (400, 1))
+    together, _ = fisher_two_sided(tables)
+    assert [fisher_two_sided(t)[0][0] for t in tables] == together.tolist()
+
+
 def test_chi_square_tail_against_the_error_function(spark):
     values = [10 ** (e / 10) for e in range(-120, 30)] + [2 * 0.46875**2, 32.0]
     rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", stats.chi2_upper_tail(F.col("x")).alias("p")).collect()
