@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import decimal
 import math
+import operator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,7 +40,9 @@ def with_metrics(results: DataFrame, methods: tuple[str, ...] = tuple(MEASURES))
     """``results`` with ``metrics``: one struct for each asked method in order; an exact test that wasn't computed is left out."""
     listed = F.array(*(_metric(m) for m in sorted(methods)))
     if "fisher_exact" in methods:  # the other methods always have an estimate
-        listed = F.filter(listed, lambda m: m["estimate"].isNotNull())
+        # a filter has no compiled form, nor has what it filters: only where something is to be left out
+        complete = reduce(operator.and_, (F.col("fisher_p" if m == "fisher_exact" else m).isNotNull() for m in methods))
+        listed = F.when(complete, listed).otherwise(F.filter(listed, lambda m: m["estimate"].isNotNull()))
     return results.withColumn("metrics", listed)
 
 

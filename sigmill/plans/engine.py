@@ -10,9 +10,9 @@ from sigmill.functions.exact import with_fisher
 from sigmill.functions.stats import with_statistics
 from sigmill.operators.cells import violations
 from sigmill.operators.metrics import review_flags, with_metrics
-from sigmill.operators.multiplicity import FAMILY, benjamini_hochberg
+from sigmill.operators.multiplicity import FAMILY, benjamini_hochberg, gathered
 from sigmill.plans.protocol import BATCH_METHODS, Protocol, digest, normalise
-from sigmill.runtime import cut
+from sigmill.runtime import cut, widened
 
 #: fixed values: rows that a result may have
 RESULT_ROWS = 50_000
@@ -59,15 +59,23 @@ def analyse(cells: DataFrame, request: Protocol, most: int = RESULT_ROWS) -> Dat
     return scored.orderBy("event_pt")
 
 
-def analyse_all(cells: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+def analyse_all(cells: DataFrame, counted: DataFrame | None = None, repeated: bool = False) -> DataFrame:
     """Statistics, exact tests and q-values of all cells, each (dataset, drug, source, role) a family of tests.
 
     ``counted`` has the families' rows, or more of them, and is cheaper to read, for the families' sizes; without it the
     cells are written once for both readers. The statistics follow from the counts, so they come last and aren't shuffled.
+    ``repeated``: ``cells`` is a table, of which repeated rows count once. They are removed after the exact test, which is
+    the same for them, where their family lies together: one shuffle serves that and the q-values.
     """
-    if counted is None:
-        cells = counted = cut(cells)
-    scored = with_statistics(benjamini_hochberg(with_fisher(cells), family=FAMILY, counted=counted))
+    within = False
+    if repeated:
+        tests, within = gathered(with_fisher(widened(cells)), cells)
+        tests, counted = tests.distinct(), cells
+    else:
+        if counted is None:
+            cells = counted = cut(cells)
+        tests = with_fisher(cells)
+    scored = with_statistics(benjamini_hochberg(tests, family=FAMILY, counted=counted, within=within))
     last = ("fisher_p", "fisher_status", "fdr_q")
     return scored.select(*(c for c in scored.columns if c not in last), *last)
 

@@ -140,7 +140,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.analyse_all(reports.given_cells(spark, sf_dir), table(spark, sf_dir, "disproportionality_cells"))
+    return engine.analyse_all(table(spark, sf_dir, "disproportionality_cells"), repeated=True)
 
 
 def prr_ror(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from fixture_tables import CELLS
 from pyspark.sql import functions as F
 
 from sigmill import runtime
+from sigmill.operators import multiplicity
 from sigmill.operators.cells import COMPARATOR, DEDUPLICATION, EVENT_SCOPE
 from sigmill.queries import core
 
@@ -27,6 +28,29 @@ def test_results_without_a_broadcast(spark, folder, monkeypatch, query, n_rows):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def _repeated(spark, folder, target):
+    rows = runtime.table(spark, folder, "disproportionality_cells")
+    rows.unionByName(rows.where("a % 2 = 0")).unionByName(rows.where("dataset_id = 's3'")).repartition(3).write.parquet(f"{target}/disproportionality_cells.parquet")
+    return str(target)
+
+
+@pytest.mark.parametrize("query, n_rows", [(core.bh_qvalues, 520), (core.metrics_long, 1560)])
+@pytest.mark.parametrize("rows_per_task", [multiplicity.ROWS_PER_TASK, 2])
+def test_repeated_rows_count_once(spark, folder, tmp_path_factory, monkeypatch, query, n_rows, rows_per_task):
+    want = sorted(map(str, query(spark, folder).collect()))
+    monkeypatch.setattr(multiplicity, "ROWS_PER_TASK", rows_per_task)
+    found = query(spark, _repeated(spark, folder, tmp_path_factory.mktemp("repeated")))
+    assert sorted(map(str, found.collect())) == want and len(want) == n_rows
+
+
+def test_cells_are_shuffled_and_sorted_once(spark, folder, monkeypatch):
+    monkeypatch.setattr(multiplicity, "ROWS_PER_PARTITION", 50)
+    found = core.metrics_long(spark, folder)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Sort [") == 1
+    assert "dataset_id" in plan[plan.index("Exchange hashpartitioning") :].split(")")[0] and ", 11)" in plan  # 520 rows
+
+
 def test_a_large_lookup_is_no_broadcast(spark, folder):
     rows = runtime.table(spark, folder, "disproportionality_cells")
     found = runtime.lookup(rows.select("a", "b"), rows.groupBy("a").agg(F.count("*").alias("n")), ["a"], fits=False)
