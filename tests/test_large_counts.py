@@ -67,3 +67,12 @@ def test_q_values_of_large_tables(spark, tmp_path):
     assert len(found) == len(LARGE) + 1 + len(CELLS)
     assert {r.event_pt: r.fdr_q for r in found if r.dataset_id == "large"} == {event: pytest.approx(q, abs=1e-6) for event, q in family_q().items()}
     assert all(r.fdr_q is not None for r in found)
+
+
+def test_metrics_of_large_tables(spark, tmp_path):
+    found = core.metrics_long(spark, folder(spark, tmp_path)).where("dataset_id = 'large'").collect()
+    assert sorted((r.event_pt, r.method) for r in found) == [(f"E{n}", m) for n in range(len(LARGE) + 1) for m in ("fisher_exact", "prr", "ror")]
+    tests, q = {r.event_pt: r for r in found if r.method == "fisher_exact"}, family_q()
+    for n, t in enumerate([*LARGE, (20, 80, 40, 860)]):
+        r = tests[f"E{n}"]
+        assert (r.estimate, r.p_value, r.q_value) == pytest.approx((whole(*t), whole(*t), q[f"E{n}"]), abs=1e-6)
